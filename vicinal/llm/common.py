@@ -5,13 +5,10 @@ from __future__ import annotations
 import tempfile
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker tokenises at once; bounds its memory for any batch size.
-CHUNK_BYTES = 2_000_000
-#: Words whose hashes a Python worker remembers.
-MEMO_WORDS = 400_000
+CHUNK_BYTES = 1_000_000
 
 # Bytes that are not part of an alphanumeric word: all ASCII but digits and letters.
 _ALNUM = bytes(
@@ -56,19 +53,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().translate(_ALNUM).split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for the words seen lately."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, for arrays of hashes."""
     with np.errstate(over="ignore"):
@@ -77,6 +61,43 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class Words:
+    """Hashes of the words of many texts, without an object for each word.
+
+    A word's hash is a polynomial of its bytes, read off running sums over the whole buffer, so equal
+    words have equal hashes wherever they stand.
+    """
+
+    def __init__(self, alnum: bool):
+        self.alnum = alnum
+        space = b" \t\n\r\x0b\x0c"
+        self.inside = np.array([(_ALNUM[b] != 0x20) if alnum else b not in space for b in range(256)])
+        self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        powers = np.full(n, _BASE, np.uint64)
+        inverse = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        powers[0] = inverse[0] = 1
+        with np.errstate(over="ignore"):
+            self.powers, self.inverse = np.cumprod(powers, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+
+    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in a row, and the number of words up to the end of each text."""
+        raws = [(t or "").encode().lower() for t in texts]
+        buffer = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+        if len(buffer) > len(self.powers):
+            self._grow(2 * len(buffer))
+        inside = self.inside[buffer]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            sums = np.cumsum(self.values[buffer] * self.powers[: len(buffer)], dtype=np.uint64)
+            h = mix((sums[last] - sums[first]) * self.inverse[first])
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        return h, np.searchsorted(first, ends)
+
+
 #: Odd multiplier of the polynomial that combines word hashes into shingle hashes.
 _BASE = 0x9E3779B97F4A7C15
 
@@ -93,15 +114,14 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(ids, texts, words_of):
-    """Batches of (ids, word lists) whose texts hold about CHUNK_BYTES characters."""
-    out_ids, out_words, held = [], [], 0
-    for i, t in zip(ids, texts):
-        out_ids.append(i)
-        out_words.append(words_of(t))
-        held += len(t or "")
+def chunks(*columns):
+    """Batches of the columns' values; the last column's texts hold about CHUNK_BYTES characters a batch."""
+    out, held = [], 0
+    for row in zip(*columns):
+        out.append(row)
+        held += len(row[-1] or "")
         if held >= CHUNK_BYTES:
-            yield out_ids, out_words
-            out_ids, out_words, held = [], [], 0
-    if out_ids:
-        yield out_ids, out_words
+            yield [list(c) for c in zip(*out)]
+            out, held = [], 0
+    if out:
+        yield [list(c) for c in zip(*out)]

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, alnum_words, chunks, shingle_hashes
+from .common import Words, alnum_words, chunks, shingle_hashes
 
 WORDS = 5
 SHARE = 0.8
@@ -35,14 +35,14 @@ class Sketches:
 
     def __init__(self, items: list[tuple[int | None, str | None]], share: float):
         self.share, self.items = share, []
-        hashes = WordHashes()
+        hashes = Words(alnum=True)
         holders: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             words = alnum_words(text)
             if not words:
                 continue
             k = min(WORDS, len(words))
-            h = np.unique(shingle_hashes(hashes.array(words), k))
+            h = np.unique(shingle_hashes(hashes.hashes([text])[0], k))
             largest = (1 << len(h).bit_length()) - 1
             for x in h[: int((1 - share) * largest + 1e-9) + 1].tolist():
                 holders[k][x].append(len(self.items))
@@ -55,11 +55,9 @@ class Sketches:
             bits[(known & np.uint64((1 << _TABLE_BITS) - 1)).astype(np.int64)] = True
             self.lookup[k] = (known, bits)
 
-    def candidates(self, docs: list[list[bytes]], hashes: WordHashes) -> set[tuple[int, int]]:
+    def candidates(self, texts: list[str | None], hashes: Words) -> set[tuple[int, int]]:
         """(document, item) numbers whose sketches meet."""
-        sizes = [len(d) for d in docs]
-        h = hashes.array([w for d in docs for w in d])
-        ends = np.cumsum(sizes)
+        h, ends = hashes.hashes(texts)
         out = set()
         for k, (known, bits) in self.lookup.items():
             s = shingle_hashes(h, k)
@@ -67,9 +65,9 @@ class Sketches:
             place = np.searchsorted(known, s[at])
             at = at[known[np.minimum(place, len(known) - 1)] == s[at]]
             doc = np.searchsorted(ends, at, side="right")
-            whole = at + k <= ends[doc] if len(at) else at
-            for d, x in zip(doc[whole].tolist() if len(at) else (), s[at[whole]].tolist() if len(at) else ()):
-                out.update((d, i) for i in self.holders[k][x])
+            for d, a in zip(doc.tolist(), at.tolist()):
+                if a + k <= ends[d]:
+                    out.update((d, i) for i in self.holders[k][int(s[a])])
         return out
 
     def verified(self, words: list[bytes], numbers: list[int]) -> list[list[int]]:
@@ -99,14 +97,14 @@ def _found(sketches: Sketches) -> Column:
 
     @F.pandas_udf("array<array<long>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
+        hashes = Words(alnum=True)
         for series in texts:
             out = []
-            for _, docs in chunks(series, series, alnum_words):
+            for (docs,) in chunks(series):
                 by_doc = defaultdict(list)
                 for d, i in sketches.candidates(docs, hashes):
                     by_doc[d].append(i)
-                out += [sketches.verified(w, by_doc[d]) if d in by_doc else [] for d, w in enumerate(docs)]
+                out += [sketches.verified(alnum_words(t), by_doc[d]) if d in by_doc else [] for d, t in enumerate(docs)]
             yield pd.Series(out, dtype=object)
 
     return run

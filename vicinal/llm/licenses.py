@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, chunks
+from .common import alnum_words
 
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -131,12 +131,12 @@ def scan(docs: DataFrame, frequency: dict[bytes, int] | None = None, text: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for ids, words_of in chunks(batch["doc_id"].astype("Int64"), batch["text"], alnum_words):
-                for i, words in zip(ids, words_of):
-                    places, shares = index.scan(words)
-                    base = {label for _, label in places}
-                    score = max([0.5 * bool(base), *shares.values()])
-                    rows.append((i, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(shares))), score))
+            for i, t in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+                words = alnum_words(t)
+                places, shares = index.scan(words)
+                base = {label for _, label in places}
+                score = max([0.5 * bool(base), *shares.values()])
+                rows.append((i, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(base | set(shares))), score))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 

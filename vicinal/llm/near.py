@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, chunks, mix, shingle_hashes, space_words
+from .common import Words, checkpointed, chunks, mix, shingle_hashes
 from .graph import connected_components
 from .simhash import _slabs, fingerprint_of, within
 
@@ -28,9 +28,11 @@ PAIRWISE, NEIGHBOURS, BLOCK = 16, 2, 512
 BROADCAST_ROWS = 100_000
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of the runs of five words; of all words if there are fewer."""
-    return np.unique(shingle_hashes(hashes.array(words), min(WORDS, max(1, len(words)))))
+def shingles(texts: list[str | None], words: Words) -> Iterator[np.ndarray]:
+    """Distinct hashes of the runs of five words of each text; of all words if there are fewer."""
+    h, ends = words.hashes(texts)
+    for first, after in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield np.unique(shingle_hashes(h[first:after], min(WORDS, max(1, after - first))))
 
 
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64))
@@ -48,12 +50,11 @@ def bands(s: np.ndarray) -> np.ndarray:
 
 def _signatures(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        words = Words(alnum=False)
         for b in batches:
             fps, keys = [], []
-            for _, docs in chunks(b["node"], b["text"], space_words):
-                for words in docs:
-                    s = shingles(words, hashes)
+            for (texts,) in chunks(b["text"]):
+                for s in shingles(texts, words):
                     fps.append(fingerprint_of(s))
                     keys.append(bands(s) if len(s) else np.empty(0, np.int64))
             yield pd.DataFrame({"node": b["node"], "fp": np.array(fps, np.uint64).view(np.int64), "bands": keys})
@@ -121,10 +122,10 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        words = Words(alnum=False)
         for b in batches:
-            for nodes, docs in chunks(b["node"], b["text"], space_words):
-                yield pd.DataFrame({"node": nodes, "s": [shingles(w, hashes).tobytes() for w in docs]})
+            for nodes, texts in chunks(b["node"], b["text"]):
+                yield pd.DataFrame({"node": nodes, "s": [s.tobytes() for s in shingles(texts, words)]})
 
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     return rows.join(nodes, ["node", "doc_id"], "left_semi").select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, mix, shingle_hashes, space_words
+from .common import checkpointed, space_words
 from .graph import connected_components
 
 RADIUS = 2

@@ -16,28 +16,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, chunks, mix, shingle_hashes, space_words
+from .common import Words, checkpointed, chunks, mix, shingle_hashes
 
 LENGTH = 50
 GRAM, WINDOW = 8, 40
 #: Words that follow a minimiser of a repeated passage in any case: the suffixes' key.
 PREFIX = LENGTH - WINDOW + 1
 #: Suffixes of one prefix that are sorted in one run; runs of more are divided, their windows compared after.
-RUN = 4096
-#: Texts up to which the list of those with repeated prefixes is broadcast.
-BROADCAST_ROWS = 100_000
+RUN = 1024
 _WORDS = r"[^\x20\x09-\x0D]+"
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """Positions of the leftmost smallest k-gram hash of each window, for the word hashes of a text."""
+def _slide(x: np.ndarray, size: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) of each window of `size` elements, by doubling."""
+    out, width = x, 1
+    while width < size:
+        step = min(width, size - width)
+        out = pick(out[: len(out) - step], out[step:])
+        width += step
+    return out
+
+
+def minimisers(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of the smallest k-gram hash of each window that starts a run of LENGTH words, for the
+    word hashes of texts in a row; of equal ones all.  `ends`: the texts' ends."""
     if len(h) < LENGTH:
         return np.empty(0, np.int64)
     g = shingle_hashes(h, GRAM)
-    windows = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return at[at + PREFIX <= len(h)]
+    least = _slide(g, WINDOW, np.minimum)[: len(h) - LENGTH + 1]
+    first = np.arange(len(least))
+    whole = first + LENGTH <= ends[np.searchsorted(ends, first, side="right")]
+    # the largest minimum of the windows that hold a position; 0 where there is none
+    held = np.concatenate([np.zeros(WINDOW - 1, np.uint64), np.where(whole, least, np.uint64(0)), np.zeros(WINDOW - 1, np.uint64)])
+    most = _slide(held, WINDOW, np.maximum)
+    return np.flatnonzero((g[: len(most)] == most[: len(g)]) & (most[: len(g)] > 0))
 
 
 def _keys(texts) -> list:
@@ -48,17 +61,14 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     """(h, k1, many) for each minimiser prefix of each text (k1, text); many: twice in the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        words = Words(alnum=False)
         for batch in batches:
-            for keys, docs in chunks(batch["k1"], batch["text"], space_words):
-                hs, ks, many = [], [], []
-                for k1, words in zip(keys, docs):
-                    h = hashes.array(words)
-                    own, n = np.unique(shingle_hashes(h, PREFIX)[minimisers(h)], return_counts=True)
-                    hs.append(own)
-                    ks.append(np.full(len(own), k1, np.int64))
-                    many.append(n > 1)
-                yield pd.DataFrame({"h": np.concatenate(hs).view(np.int64), "k1": np.concatenate(ks), "many": np.concatenate(many)})
+            for keys, docs in chunks(batch["k1"], batch["text"]):
+                h, ends = words.hashes(docs)
+                at = minimisers(h, ends)
+                own = pd.DataFrame({"h": shingle_hashes(h, PREFIX)[at].view(np.int64), "k1": np.array(keys, np.int64)[np.searchsorted(ends, at, side="right")]})
+                own["many"] = own.duplicated(["h", "k1"], keep=False)
+                yield own.drop_duplicates()
 
     return texts.select("k1", "text").mapInPandas(run, "h long, k1 long, many boolean")
 
@@ -70,25 +80,26 @@ def _suffixes(texts: DataFrame) -> DataFrame:
     """The suffixes of (k1, k2, text, hs) at minimisers whose prefix is in hs, with their contexts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        columns = [x.split()[0] for x in _SUFFIX.split(", ")]
+        words = Words(alnum=False)
+        around = np.arange(LENGTH)
         for batch in batches:
-            rows: list[tuple] = []
-            for numbers, docs in chunks(range(len(batch)), batch["text"], space_words):
-                for i, words in zip(numbers, docs):
-                    h = hashes.array(words)
-                    prefix = shingle_hashes(h, PREFIX).view(np.int64)
-                    at = minimisers(h)
-                    at = at[np.isin(prefix[at], np.asarray(batch["hs"].iloc[i], np.int64))]
-                    small = np.concatenate([np.zeros(WINDOW, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(LENGTH, np.uint32)])
-                    for p in at.tolist():
-                        left, right = small[p + 1 : p + WINDOW][::-1], small[p + WINDOW : p + WINDOW + LENGTH]
-                        rows.append((prefix[p], batch["k1"].iloc[i], batch["k2"].iloc[i], p, max(0, p + LENGTH - len(h)), min(WINDOW - 1, p), left.tobytes(), right.tobytes()))
-                if len(rows) > 10_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+            for k1, k2, hs, docs in chunks(batch["k1"], batch["k2"], batch["hs"], batch["text"]):
+                h, ends = words.hashes(docs)
+                at = minimisers(h, ends)
+                prefix = shingle_hashes(h, PREFIX).view(np.int64)
+                at = at[np.isin(prefix[at], np.concatenate(hs))]
+                doc = np.searchsorted(ends, at, side="right")
+                pos, left = at - np.concatenate([[0], ends])[doc], ends[doc] - at
+                small = np.concatenate([np.zeros(WINDOW, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(LENGTH, np.uint32)])
+                for s in range(0, len(at), 5000):
+                    x = at[s : s + 5000, None] + WINDOW
+                    lefts, rights = small[x - 1 - around[: WINDOW - 1]], small[x + around]
+                    d = doc[s : s + 5000]
+                    yield pd.DataFrame({
+                        "h": prefix[at[s : s + 5000]], "k1": np.array(k1, np.int64)[d], "k2": np.array(k2, np.int64)[d], "pos": pos[s : s + 5000],
+                        "lo": np.maximum(0, LENGTH - left[s : s + 5000]), "hi": np.minimum(WINDOW - 1, pos[s : s + 5000]),
+                        "lefts": [r.tobytes() for r in lefts], "rights": [r.tobytes() for r in rights],
+                    })
 
     return texts.select("k1", "k2", "text", "hs").mapInPandas(run, _SUFFIX)
 
