@@ -1,0 +1 @@
+"""Joins, top-k, partition algebra, reports and checks."""

@@ -1,0 +1 @@
+"""Compositions of operators: the analysis of timing runs, and the registered queries."""

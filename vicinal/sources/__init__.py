@@ -1,0 +1 @@
+"""Readers, generators and writers of points."""

@@ -1,0 +1 @@
+"""Nothing here: the engine's workload is batch; its block-wise passes are ordinary Spark stages."""
