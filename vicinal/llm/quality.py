@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import space_words
 
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of the id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 5_000
 TREES, DEPTH, LASSO, STEPS = 40, 3, 2e-4, 400
 THRESHOLD = 0.7
 
@@ -173,13 +173,14 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Fit on at most `max_labelled` labelled documents, none of them held out.
 
-    Labels without an id or a quality are ignored; a document with several labels takes the lowest.
+    Labels without an id or a quality are ignored; a document with several labels takes the lowest,
+    an id with several texts the last in their order.
     Without usable labels the model is a constant.
     """
     known = labels.where("doc_id is not null and quality is not null and not " + "(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("doc_id").alias("i"), "y", "text")
-    rows = with_statistics(some).select("row.i", "row.y", *STATS).orderBy("i", *STATS).limit(2 * max_labelled).toPandas()
+    some = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("text").alias("text"))
+    rows = with_statistics(some.withColumnRenamed("doc_id", "i")).select("row.i", "row.y", *STATS).toPandas().sort_values("i")
     return fit(rows[STATS].to_numpy("float64"), (rows["y"] > 0).to_numpy("float64"))
 
 
