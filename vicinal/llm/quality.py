@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add, and_
 
 import numpy as np
 import pandas as pd
@@ -72,13 +74,13 @@ class Model:
     rules: list[tuple[tuple[tuple[str, str, float], ...], float]] = field(default_factory=list)
 
     def column(self) -> Column:
-        total = F.lit(self.intercept)
+        terms = [F.lit(self.intercept)]
         for conditions, weight in self.rules:
-            holds = F.lit(True)
-            for stat, op, bound in conditions:
-                holds = holds & (F.col(stat) <= bound if op == "<=" else F.col(stat) > bound)
-            total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+            holds = reduce(and_, [F.col(stat) <= bound if op == "<=" else F.col(stat) > bound for stat, op, bound in conditions])
+            terms.append(F.when(holds, F.lit(weight)).otherwise(F.lit(0.0)))
+        while len(terms) > 1:  # in pairs, so that the expression stays shallow
+            terms = [reduce(add, terms[i : i + 2]) for i in range(0, len(terms), 2)]
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms[0]))
 
 
 def _paths(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> list[tuple]:
