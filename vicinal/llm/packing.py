@@ -9,6 +9,7 @@ one document and a few counters.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import chunks
+
 SIZE = 2048
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group: sequences of one tier that are trained together.
@@ -27,33 +30,78 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, step_group long"
 )
+#: Pieces whose ids a worker remembers, in each of two generations.
 _MEMO = 300_000
 
 
-class Encoder(dict):
-    """chunk of text without blanks or line ends -> its ids as little-endian unsigned 32-bit bytes.
+# ASCII and Western European letters, where the tokenizer's own expression makes these pieces.
+_LOWER = r"a-z\u00df-\u00f6\u00f8-\u00ff"
+_ODD = re.compile(r"[^ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\\s0-9{_LOWER}]+")
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins what stands on either side of it, so a text's ids
-    are those of its chunks in a row.
+    are those of its pieces in a row, and the pieces' ids are remembered.  Texts of ASCII and Western
+    European letters are lower-cased and split here; new pieces go straight to the tokenizer's model,
+    many at once: a piece's last id, and no other, stands for a token with the end-of-word mark.
+    Chunks between blanks that hold other characters go through the whole tokenizer one by one.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(1 + max(vocabulary.values()), bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= _MEMO:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        return b"".join(map(self.__getitem__, chunks))
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        if not _ODD.search(text):
+            return _PIECES.findall(text.lower())
+        parts = []
+        for c in text.replace("\n", " ").split(" "):
+            if _ODD.search(c):
+                parts.append(c)
+            else:
+                parts += _PIECES.findall(c.lower())
+        return parts
+
+    def _learn(self, new: set[str]) -> None:
+        plain = []
+        for p in new:
+            if p in self.older:
+                self.known[p] = self.older[p]
+            elif _ODD.search(p):
+                self.known[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                plain.append(p)
+        for s in range(0, len(plain), 500):
+            some = plain[s : s + 500]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            for p, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+                self.known[p] = raw[a:b]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > _MEMO:
+            self.known, self.older = {}, self.known
+        parts = [self._split(t or "") for t in texts]
+        found = [list(map(self.known.get, x)) for x in parts]
+        lacking = [i for i, x in enumerate(found) if None in x]
+        self._learn({p for i in lacking for p, ids in zip(parts[i], found[i]) if ids is None})
+        for i in lacking:
+            found[i] = map(self.known.__getitem__, parts[i])
+        return [b"".join(x) for x in found]
 
 
 class Packer:
@@ -135,8 +183,9 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
 
         rows: list[tuple] = []
         for batch in batches:
-            for i, t in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-                rows += packer.add(i, encoder.ids(t) + end)
+            for numbers, texts in chunks(batch["doc_id"].astype("Int64"), batch["text"]):
+                for i, ids in zip(numbers, encoder.encode(texts)):
+                    rows += packer.add(i, ids + end)
                 if len(rows) > 20_000:
                     yield frame(rows)
                     rows = []
