@@ -8,7 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker tokenises at once; bounds its memory for any batch size.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 400_000
+#: Rows of a batch that goes to a Python worker; whole texts are longer than what Spark's own number is made for.
+BATCH_ROWS = 1_000
 
 # Bytes that are not part of an alphanumeric word: all ASCII but digits and letters.
 _ALNUM = bytes(
@@ -20,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; its session from now on sends at most BATCH_ROWS rows at once to Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
@@ -73,7 +84,7 @@ class Words:
         space = b" \t\n\r\x0b\x0c"
         self.inside = np.array([(_ALNUM[b] != 0x20) if alnum else b not in space for b in range(256)])
         self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-        self._grow(1 << 16)
+        self._grow(1 << 19)
 
     def _grow(self, n: int) -> None:
         powers = np.full(n, _BASE, np.uint64)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, alnum_words, chunks, shingle_hashes
+from .common import Words, alnum_words, chunks, shingle_hashes, small_batches
 
 WORDS = 5
 SHARE = 0.8
@@ -118,7 +118,7 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     texts contain nothing and are contained nowhere; repeated rows on either side give a row each;
     empty tables give no rows; null ids are kept; other columns are ignored.
     """
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pairs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for block in _blocks(items.select("item_id", "text")):
         sketches = Sketches(block, share)
@@ -134,5 +134,5 @@ def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """The rows of `docs` that contain no item; the same rules as `leaks`."""
     for block in _blocks(items.select("item_id", "text")):
-        docs = docs.where(F.size(_found(Sketches(block, share))("text")) == 0)
+        docs = small_batches(docs).where(F.size(_found(Sketches(block, share))("text")) == 0)
     return docs

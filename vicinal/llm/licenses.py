@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words
+from .common import alnum_words, small_batches
 
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -140,4 +140,4 @@ def scan(docs: DataFrame, frequency: dict[bytes, int] | None = None, text: str =
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in SCHEMA.split(", ")])
             yield out.astype({"doc_id": "Int64", "first_word": "Int64", "last_word": "Int64"})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix, shingle_hashes
+from .common import Words, checkpointed, chunks, mix, shingle_hashes, small_batches
 from .graph import connected_components
 from .simhash import _slabs, fingerprint_of, within
 
@@ -138,7 +138,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     always are, so are null, empty and blank ones among themselves.  The smallest doc_id of a group is
     kept, a null one only if there is no other.  node is the text's hash.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64(F.when(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) != "", F.col("text")).otherwise("")).alias("node"))
     ids = checkpointed(rows.select("doc_id", "node").distinct())
     least = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, small_batches
 
 SIZE = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -31,7 +31,7 @@ SCHEMA = (
     "sequence_tokens long, step_group long"
 )
 #: Pieces whose ids a worker remembers, in each of two generations.
-_MEMO = 300_000
+_MEMO = 200_000
 
 
 # ASCII and Western European letters, where the tokenizer's own expression makes these pieces.
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
         if rows:
             yield frame(rows)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import space_words
+from .common import small_batches, space_words
 
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of the id.
 MAX_LABELLED = 5_000
@@ -57,8 +57,7 @@ def statistics(text: str | None) -> tuple[float, ...]:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """row (a struct of the columns of `docs`) and the columns STATS."""
-    rest = [c for c in docs.columns]
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text).alias("text"))
+    df = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
 
     def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in series:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, space_words
+from .common import checkpointed, small_batches, space_words
 from .graph import connected_components
 
 RADIUS = 2
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
             fps = np.array([fingerprint_of(shingle_xxh64(space_words(t), k)) for t in b["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
 def within(fps: np.ndarray, radius: int, wanted: np.ndarray | None = None) -> np.ndarray:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix, shingle_hashes
+from .common import Words, checkpointed, chunks, mix, shingle_hashes, small_batches
 
 LENGTH = 50
 GRAM, WINDOW = 8, 40
@@ -219,7 +219,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     of LENGTH words or more repeat as a whole.  Shorter, null and empty texts have none.  A null
     doc_id is kept, repeated rows are copies, an empty table gives no rows, other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *_keys("text"), "text")
     slim = rows.select("doc_id", "k1", "k2", F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_words"))
     slim = checkpointed(slim)
