@@ -81,3 +81,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 SQL: dict[str, str] = {}
+
+_CANONICAL = """SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical_url
+FROM (SELECT page_id, digest,
+  regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)), '^.*@', ''), '^www\\.', ''), ':(80|443)$', '') AS host,
+  regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) AS params
+ FROM (SELECT page_id, md5(html) AS digest, regexp_replace(trim(url), '#.*$', '') AS u FROM pages))"""
+SQL["op1_revisits"] = f"""WITH c AS ({_CANONICAL}),
+m AS (SELECT p.page_id, p.canonical_url, p.digest, max(q.page_id) AS matched FROM c p LEFT JOIN c q ON p.canonical_url = q.canonical_url AND q.page_id < p.page_id + 1000 GROUP BY ALL)
+SELECT m.page_id, m.canonical_url, CASE WHEN matched IS NULL THEN 'no_response' WHEN q.digest = m.digest THEN 'resolved' ELSE 'mismatch' END AS outcome,
+ matched AS matched_page_id, m.digest,
+ CASE WHEN q.digest = m.digest THEN 'content-type=text/html;' ELSE 'content-length=0;' END || 'date=t' || (m.page_id + 1000) || ';expires=t' || (m.page_id + 2000) AS headers
+FROM m LEFT JOIN c q ON q.page_id = m.matched"""
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_SHINGLES = "SELECT DISTINCT {id}, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT {id}, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM (SELECT {id}, " + _WORDS + " AS w FROM {table}))"
+SQL["op2_decontamination"] = f"""WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+j AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM j JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item"""
+SQL["op6_top_k"] = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda t: t[1] * t[2])) AS BIGINT) AS score
+ FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10"""
