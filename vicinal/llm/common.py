@@ -125,13 +125,13 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(*columns):
-    """Batches of the columns' values; the last column's texts hold about CHUNK_BYTES characters a batch."""
+def chunks(*columns, size: int = CHUNK_BYTES):
+    """Batches of the columns' values; the last column's texts hold about `size` characters a batch."""
     out, held = [], 0
     for row in zip(*columns):
         out.append(row)
         held += len(row[-1] or "")
-        if held >= CHUNK_BYTES:
+        if held >= size:
             yield [list(c) for c in zip(*out)]
             out, held = [], 0
     if out:

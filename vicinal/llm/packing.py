@@ -30,8 +30,9 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, step_group long"
 )
-#: Pieces whose ids a worker remembers, in each of two generations.
-_MEMO = 200_000
+#: Pieces whose ids a worker remembers, in each of two generations (about 160 bytes each), and the
+#: characters of text that it encodes at once.  Smaller numbers save memory and cost time.
+REMEMBER, ENCODE = 300_000, 1_500_000
 
 
 # ASCII and Western European letters, where the tokenizer's own expression makes these pieces.
@@ -50,9 +51,10 @@ class Encoder:
     Chunks between blanks that hold other characters go through the whole tokenizer one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        self.remember = remember
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = Tokenizer(self.whole.model)
@@ -93,7 +95,7 @@ class Encoder:
                 self.known[p] = raw[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > _MEMO:
+        if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
         parts = [self._split(t or "") for t in texts]
         found = [list(map(self.known.get, x)) for x in parts]
@@ -164,17 +166,20 @@ class Packer:
         self.next += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", remember: int = REMEMBER, encode: int = ENCODE
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     sequence_tokens (ids in the sequence) and step_group.
 
     A null or empty text is a document of the end id alone; a null doc_id is kept as null; repeated
     rows are packed each; an empty table gives no rows; other columns are ignored.  Sequence ids are
-    unique: the partition's number in the high bits.  `tokenizer` is a file that every executor has.
+    unique: the partition's number in the high bits.  `tokenizer` is a file that every executor has;
+    `remember` and `encode` bound a worker's memory and change no result.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, packer = Encoder(tokenizer), Packer(TaskContext.get().partitionId() << 36)
+        encoder, packer = Encoder(tokenizer, remember), Packer(TaskContext.get().partitionId() << 36)
         end = np.array([END], "<u4").tobytes()
         columns = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -183,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
 
         rows: list[tuple] = []
         for batch in batches:
-            for numbers, texts in chunks(batch["doc_id"].astype("Int64"), batch["text"]):
+            for numbers, texts in chunks(batch["doc_id"].astype("Int64"), batch["text"], size=encode):
                 for i, ids in zip(numbers, encoder.encode(texts)):
                     rows += packer.add(i, ids + end)
                 if len(rows) > 20_000:
