@@ -37,8 +37,8 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The documents' pieces in sequences; workers keep less than usual, as those of earlier stages live on."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remember=200_000, encode=400_000)
 
 
 STAGES = [
