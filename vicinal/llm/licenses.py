@@ -61,7 +61,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[bytes, int
                 total.update(vocabulary.intersection(alnum_words(t)))
         yield pd.DataFrame({"word": [*[w.decode() for w in total], ""], "n": [*total.values(), rows]})
 
-    counted = docs.select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = small_batches(docs).select(F.col(text).alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word.encode(): r.n for r in counted.collect()}
 
 
