@@ -177,6 +177,27 @@ def test_large_groups_of_near_copies(spark):
     assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_near_copies_of_large_blocks(spark):
+    """Groups that no block of few members joins: each text has its own changes to one of two texts."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for base in (rng.choice(VOCAB, 300), rng.choice(VOCAB, 300)):
+        for _ in range(60):
+            changed = base.copy()
+            for at in rng.integers(0, 300, rng.integers(2, 14)):
+                changed[at] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(changed)))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    kept = near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert 2 < len(set(label)) < len(rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, " ".join(VOCAB[:30])), (3, prose(30)), (4, None), (5, "b, C"), (6, ""), (7, " ".join(COMMON.split()[:50] + ["else"]))]
     table = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")

@@ -22,9 +22,14 @@ from .simhash import _slabs, fingerprint_of, within
 WORDS, SIMILARITY = 5, 0.8
 #: min-hashes a band, bands, and the bits by which fingerprints of similar documents differ at most.
 ROWS, BANDS, RADIUS = 3, 12, 22
-#: Members of a block that are compared pair by pair; in larger ones each is compared with its
-#: neighbours in the order of fingerprints and with the first, and the roots of what this joins again.
+#: Members of a block that are verified pair by pair at once; in larger ones each is first compared with
+#: its neighbours in the order of fingerprints and with the first, and the roots of what this joins again.
 PAIRWISE, NEIGHBOURS, BLOCK = 16, 2, 512
+#: Then come the pairs of a large block that are still in different groups: each member's candidates by
+#: falling agreement of signatures, so many a round.  The last round takes all that is left.
+ROUNDS = ((0, 8), (8, 64), (64, 1 << 30))
+#: Equal min-hashes of ROWS * BANDS below which a pair of similarity 0.8 lies with a probability of 2e-5.
+AGREE = 18
 BROADCAST_ROWS = 100_000
 
 
@@ -38,9 +43,13 @@ def shingles(texts: list[str | None], words: Words) -> Iterator[np.ndarray]:
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64))
 
 
-def bands(s: np.ndarray) -> np.ndarray:
+def min_hashes(s: np.ndarray) -> np.ndarray:
+    return np.array([mix(s ^ seed).min() for seed in _SEEDS], np.uint64)
+
+
+def bands(least: np.ndarray) -> np.ndarray:
     """A hash of each band's min-hashes, with the band's number in its last bits."""
-    least = np.array([mix(s ^ seed).min() for seed in _SEEDS], np.uint64).reshape(BANDS, ROWS)
+    least = least.reshape(BANDS, ROWS)
     out = np.zeros(BANDS, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(ROWS):
@@ -52,14 +61,16 @@ def _signatures(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(alnum=False)
         for b in batches:
-            fps, keys = [], []
+            fps, keys, sigs = [], [], []
             for (texts,) in chunks(b["text"]):
                 for s in shingles(texts, words):
+                    least = min_hashes(s) if len(s) else np.empty(0, np.uint64)
                     fps.append(fingerprint_of(s))
-                    keys.append(bands(s) if len(s) else np.empty(0, np.int64))
-            yield pd.DataFrame({"node": b["node"], "fp": np.array(fps, np.uint64).view(np.int64), "bands": keys})
+                    keys.append(bands(least) if len(s) else np.empty(0, np.int64))
+                    sigs.append(least.astype(np.uint8).tobytes())
+            yield pd.DataFrame({"node": b["node"], "fp": np.array(fps, np.uint64).view(np.int64), "bands": keys, "sig": sigs})
 
-    return rows.select("node", "text").mapInPandas(run, "node long, fp long, bands array<long>")
+    return rows.select("node", "text").mapInPandas(run, "node long, fp long, bands array<long>, sig binary")
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
@@ -104,6 +115,44 @@ def _pairs(blocks: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long, whole boolean")
 
 
+def _apart(tiles: DataFrame, low: int, high: int) -> DataFrame:
+    """(u, v) of tiles (band, tile, node, fp, sig, label): of each member's candidates in its tile, by
+    falling agreement and then by node, the low-th to high-th where they have another label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            last = ((b["band"] == b["band"].iloc[-1]) & (b["tile"] == b["tile"].iloc[-1])).to_numpy()
+            cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
+            held, b = b.iloc[cut:], b.iloc[:cut]
+            yield from candidates(b)
+        if held is not None:
+            yield from candidates(held)
+
+    def candidates(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, t in b.groupby(["band", "tile"], sort=False):
+            node, label = t["node"].to_numpy(np.int64), t["label"].to_numpy(np.int64)
+            if (label == label[0]).all():
+                continue
+            sig = np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1)
+            agree = np.zeros((len(t), len(t)), np.int16)
+            for column in sig.T:
+                agree += column[:, None] == column
+            near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, (agree >= AGREE) & ~np.eye(len(t), dtype=bool))
+            order = np.argsort(np.where(near, -agree, 1), axis=1, kind="stable")[:, low:high]
+            i, place = np.nonzero(np.take_along_axis(near, order, axis=1))
+            j = order[i, place]
+            other = label[i] != label[j]
+            i, j = node[i[other]], node[j[other]]
+            yield pd.DataFrame({"u": np.minimum(i, j), "v": np.maximum(i, j)})
+
+    dealt = tiles.repartition("band", "tile").sortWithinPartitions("band", "tile", "node")
+    return dealt.mapInPandas(run, "u long, v long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
 
@@ -131,6 +180,32 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, ["node", "doc_id"], "left_semi").select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
 
+def _joined(rows: DataFrame, least: DataFrame, every: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` with the links of large blocks that were not looked at; every: (band, node, fp, sig).
+
+    A block of up to BLOCK members is one tile, whose candidates all end in one group or are verified.
+    Larger ones are dealt out over tiles by hash, otherwise for each band.
+    """
+    large = every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}")
+    tile = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).alias("tile")
+    tiles = checkpointed(every.join(large, "band").select("band", tile, "node", "fp", "sig"))
+    sets = None
+    for low, high in ROUNDS:
+        now = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = now.groupBy("band", "tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        now = checkpointed(now.join(mixed.select("band", "tile"), ["band", "tile"], "left_semi"))
+        pairs = checkpointed(_apart(now, low, high).distinct())
+        if pairs.isEmpty():
+            continue
+        if sets is None:
+            sets = checkpointed(_sets(rows, now.select("node").distinct().join(least, "node")))
+        new = checkpointed(_similar(pairs, sets))
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            labels = checkpointed(connected_components(found))
+    return labels
+
+
 def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, node, kept) of each distinct (id, text) of `docs`; one of each group of near copies is kept.
 
@@ -143,8 +218,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     ids = checkpointed(rows.select("doc_id", "node").distinct())
     least = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     signed = checkpointed(_signatures(rows).dropDuplicates(["node"]))
-    nodes = signed.select("node", "fp", F.explode("bands").alias("band"))
-    found = None
+    every = signed.select("node", "fp", "sig", F.explode("bands").alias("band"))
+    nodes, found = every.drop("sig"), None
     while True:
         blocks = checkpointed(_pairs(nodes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "whole").where("u <> v"))
         pairs = blocks.select("u", "v").distinct()
@@ -157,6 +232,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
             break
         roots = nodes.join(labels, "node", "left").where("label is null or label = node")
         nodes = roots.select("node", "fp", "band")
+    labels = _joined(rows, least, every, found, labels)
     group = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = group.groupBy("label").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     same = group["doc_id"].eqNullSafe(chosen["best.doc_id"]) & (group["node"] == chosen["best.node"])
