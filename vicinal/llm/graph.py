@@ -17,17 +17,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a <> b")
     e = checkpointed(_down(e))
-    was = None
-    while True:
+    while not _stars(e):
         e = checkpointed(_small_star(_large_star(e)))
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == was:
-            break
-        was = now
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each a has one b only and none is a b itself; then every b is the least of its component."""
+    a = e.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    b = e.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = a.unionByName(b).groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def _down(e: DataFrame) -> DataFrame:
     """Each edge once, from the larger node a to the smaller node b."""
     return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, checkpointed, chunks, mix, shingle_hashes, small_batches
@@ -23,7 +23,8 @@ WORDS, SIMILARITY = 5, 0.8
 #: min-hashes a band, bands, and the bits by which fingerprints of similar documents differ at most.
 ROWS, BANDS, RADIUS = 3, 12, 22
 #: Members of a block that are verified pair by pair at once; in larger ones each is first compared with
-#: its neighbours in the order of fingerprints and with the first, and the roots of what this joins again.
+#: its neighbours in the order of fingerprints and with the first; the roots of what this joins are
+#: compared again, as long as this joins more and blocks with more than BLOCK of them are left.
 PAIRWISE, NEIGHBOURS, BLOCK = 16, 2, 512
 #: Then come the pairs of a large block that are still in different groups: each member's candidates by
 #: falling agreement of signatures, so many a round.  The last round takes all that is left.
@@ -57,6 +58,11 @@ def bands(least: np.ndarray) -> np.ndarray:
     return ((out & ~np.uint64(15)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _node(text: str) -> Column:
+    """A text's hash; one for all blank texts."""
+    return F.xxhash64(F.when(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")) != "", F.col(text)).otherwise(""))
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(alnum=False)
@@ -74,7 +80,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
-    """(u, v, whole) of blocks (band, node, fp); whole: all pairs of the block were looked at."""
+    """The pairs (u, v), u < v, of blocks (band, node, fp) that are verified next."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -97,22 +103,23 @@ def _pairs(blocks: DataFrame) -> DataFrame:
         run_of = np.searchsorted(edges, np.arange(len(b)), side="right")
         sizes = np.bincount(run_of)[run_of]
         first = np.concatenate([[0], edges])[run_of]
-        u, v, whole = [], [], []
+        u, v = [], []
         small = np.flatnonzero((sizes > 1) & (sizes <= PAIRWISE))
         for s in _slabs(run_of[small], BLOCK) if len(small) else ():
             x = small[s]
             i, j = np.nonzero(within(fp[x].view(np.uint64), RADIUS, np.triu(run_of[x][:, None] == run_of[x], 1)))
-            u.append(node[x[i]]), v.append(node[x[j]]), whole.append(np.ones(len(i), bool))
+            u.append(node[x[i]]), v.append(node[x[j]])
         large = np.flatnonzero(sizes > PAIRWISE)
         for back in range(1, NEIGHBOURS + 1):
             other = large[large - back >= first[large]]
-            u.append(node[other]), v.append(node[other - back]), whole.append(np.zeros(len(other), bool))
+            u.append(node[other]), v.append(node[other - back])
         other = large[large - NEIGHBOURS > first[large]]
-        u.append(node[other]), v.append(node[first[other]]), whole.append(np.zeros(len(other), bool))
-        yield pd.DataFrame({"u": np.concatenate(u), "v": np.concatenate(v), "whole": np.concatenate(whole)})
+        u.append(node[other]), v.append(node[first[other]])
+        u, v = np.concatenate(u), np.concatenate(v)
+        yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     dealt = blocks.repartition("band").sortWithinPartitions("band", "fp", "node")
-    return dealt.mapInPandas(run, "u long, v long, whole boolean")
+    return dealt.mapInPandas(run, "u long, v long").where("u <> v").distinct()
 
 
 def _apart(tiles: DataFrame, low: int, high: int) -> DataFrame:
@@ -180,75 +187,88 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes, ["node", "doc_id"], "left_semi").select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
 
-def _joined(rows: DataFrame, least: DataFrame, every: DataFrame, found: DataFrame, labels: DataFrame) -> DataFrame:
-    """`labels` with the links of large blocks that were not looked at; every: (band, node, fp, sig).
+def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """(node, label) after the links `new` (u, v); nodes without a row are groups of their own."""
+    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("u", "v")]
+    links = new.join(ends[0], "u", "left").join(ends[1], "v", "left")
+    links = links.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u <> v")
+    roots = connected_components(links).select("node", F.col("label").alias("root"))
+    known = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    fresh = roots.join(labels, "node", "left_anti").select("node", F.col("root").alias("label"))
+    return checkpointed(known.unionByName(fresh))
+
+
+def _joined(every: DataFrame, large: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` with the links of large blocks (band, n) that were not looked at; every: (band, node, fp, sig).
 
     A block of up to BLOCK members is one tile, whose candidates all end in one group or are verified.
     Larger ones are dealt out over tiles by hash, otherwise for each band.
     """
-    large = every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}")
     tile = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).alias("tile")
     tiles = checkpointed(every.join(large, "band").select("band", tile, "node", "fp", "sig"))
-    sets = None
     for low, high in ROUNDS:
         now = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = now.groupBy("band", "tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        now = checkpointed(now.join(mixed.select("band", "tile"), ["band", "tile"], "left_semi"))
-        pairs = checkpointed(_apart(now, low, high).distinct())
+        pairs = checkpointed(_apart(now.join(mixed.select("band", "tile"), ["band", "tile"], "left_semi"), low, high).distinct())
         if pairs.isEmpty():
             continue
-        if sets is None:
-            sets = checkpointed(_sets(rows, now.select("node").distinct().join(least, "node")))
         new = checkpointed(_similar(pairs, sets))
         if not new.isEmpty():
-            found = found.unionByName(new)
-            labels = checkpointed(connected_components(found))
+            labels = _merged(labels, new)
     return labels
 
 
-def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, node, kept) of each distinct (id, text) of `docs`; one of each group of near copies is kept.
-
-    Texts are one group if a chain of pairs with a similarity of at least 0.8 joins them; equal texts
-    always are, so are null, empty and blank ones among themselves.  The smallest doc_id of a group is
-    kept, a null one only if there is no other.  node is the text's hash.
-    """
+def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(doc_id, node, n, kept) of each distinct (id, text), which n rows have."""
     rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64(F.when(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) != "", F.col("text")).otherwise("")).alias("node"))
-    ids = checkpointed(rows.select("doc_id", "node").distinct())
+    rows = rows.select("doc_id", "text", _node("text").alias("node"))
+    ids = checkpointed(rows.groupBy("doc_id", "node").agg(F.count("*").alias("n")))
     least = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     signed = checkpointed(_signatures(rows).dropDuplicates(["node"]))
     every = signed.select("node", "fp", "sig", F.explode("bands").alias("band"))
-    nodes, found = every.drop("sig"), None
-    while True:
-        blocks = checkpointed(_pairs(nodes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "whole").where("u <> v"))
-        pairs = blocks.select("u", "v").distinct()
-        used = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")
-        linked = checkpointed(_similar(pairs, checkpointed(_sets(rows, used))))
-        new = linked if found is None else linked.join(found, ["u", "v"], "left_anti")
-        found = linked if found is None else found.unionByName(new)
-        labels = checkpointed(connected_components(found))
-        if new.isEmpty() or blocks.where("not whole").isEmpty():
-            break
-        roots = nodes.join(labels, "node", "left").where("label is null or label = node")
-        nodes = roots.select("node", "fp", "band")
-    labels = _joined(rows, least, every, found, labels)
+    large = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}"))
+    tested = checkpointed(_pairs(every.drop("sig")))
+    # Every member of a large block is in a pair of the first round, so later rounds need no other sets.
+    sets = checkpointed(_sets(rows, tested.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")))
+    labels = checkpointed(connected_components(_similar(tested, sets)))
+    if not large.isEmpty():
+        members = checkpointed(every.drop("sig").join(large.select("band"), "band"))
+        while True:
+            roots = members.join(labels, "node", "left").where("label is null or label = node").select("node", "fp", "band")
+            if roots.groupBy("band").count().where(f"count > {BLOCK}").isEmpty():
+                break  # tiles of whole blocks do the rest
+            pairs = checkpointed(_pairs(roots).join(tested, ["u", "v"], "left_anti"))
+            new = checkpointed(_similar(pairs, sets))
+            if new.isEmpty():
+                break
+            tested, labels = tested.unionByName(pairs), _merged(labels, new)
+        labels = _joined(every, large, sets, labels)
     group = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = group.groupBy("label").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     same = group["doc_id"].eqNullSafe(chosen["best.doc_id"]) & (group["node"] == chosen["best.node"])
-    return group.join(chosen, "label").select(group["doc_id"], group["node"], same.alias("kept"))
+    return group.join(chosen, "label").select(group["doc_id"], group["node"], "n", same.alias("kept"))
+
+
+def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, node, kept) of each distinct (id, text) of `docs`; one of each group of near copies is kept.
+
+    Texts are one group if a chain of pairs with a similarity of at least 0.8 joins them; equal texts
+    always are, so are null, empty and blank ones among themselves.  The smallest doc_id of a group is
+    kept, a null one only if there is no other.  node is the text's hash.
+    """
+    return _groups(docs, text, doc_id).drop("n")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that `duplicates` keeps, with all their columns; of rows that repeat a kept
     id and text one stays."""
-    dropped = checkpointed(duplicates(docs, text, doc_id).where("not kept").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")))
+    found = checkpointed(_groups(docs, text, doc_id).where("not kept or n > 1"))
+    dropped, again = (found.where(w).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")) for w in ("not kept", "kept"))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    packed = packed.withColumn("node", F.xxhash64(F.when(F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) != "", F.col("text")).otherwise("")))
+    packed = packed.withColumn("node", _node("text"))
     kept = packed.join(dropped, packed["id"].eqNullSafe(F.col("__id")) & (packed["node"] == F.col("__node")), "left_anti")
-    again = checkpointed(packed.groupBy("id", "node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("node").alias("__node")))
     if not again.isEmpty():
         twin = kept["id"].eqNullSafe(F.col("__id")) & (kept["node"] == F.col("__node"))
         kept = kept.join(again, twin, "left_anti").unionByName(kept.join(again, twin, "left_semi").dropDuplicates(["id", "node"]))
