@@ -177,6 +177,23 @@ def test_large_groups_of_near_copies(spark):
     assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_likely_pairs():
+    """No pair of similarity 0.8 is ruled out; sets of few hashes are told apart exactly."""
+    rng = np.random.default_rng(0)
+    base, sets = rng.integers(0, 1 << 64, 400, dtype=np.uint64), [np.empty(0, np.uint64)]
+    for i in range(100):
+        s = base[: [60, 128, 129, 146, 400][i % 5]].copy()
+        s[rng.choice(len(s), i % 20, False)] = rng.integers(0, 1 << 64, i % 20, dtype=np.uint64)
+        sets.append(np.unique(s))
+    share, likely = near._likely([(s[: near.LEAST + 1] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            true = len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
+            if i != j:
+                assert likely[i, j] or true < 0.8
+                assert max(len(a), len(b)) > near.LEAST or abs(share[i, j] - true) < 1e-6
+
+
 def test_near_copies_of_large_blocks(spark):
     """Groups that no block of few members joins: each text has its own changes to one of two texts."""
     rng = np.random.default_rng(11)

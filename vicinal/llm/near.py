@@ -3,7 +3,8 @@
 Documents with a Jaccard similarity of 0.8 differ in about 10 of 64 fingerprint bits, too many for
 parts of equal bits.  Blocks here are bands of min-hashes of the same shingles, which two such
 documents share with a probability above 0.999; the fingerprints of a block are compared bit-sliced
-within a wide radius, and what remains is verified by the exact similarity of the shingle sets.
+within a wide radius, and what remains is verified by the exact similarity of the shingle sets.  In
+large blocks an estimate from the least hashes of both sets first rules out what is far below 0.8.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ ROWS, BANDS, RADIUS = 3, 12, 22
 #: compared again, as long as this joins more and blocks with more than BLOCK of them are left.
 PAIRWISE, NEIGHBOURS, BLOCK = 16, 2, 512
 #: Then come the pairs of a large block that are still in different groups: each member's candidates by
-#: falling agreement of signatures, so many a round.  The last round takes all that is left.
-ROUNDS = ((0, 8), (8, 64), (64, 1 << 30))
-#: Equal min-hashes of ROWS * BANDS below which a pair of similarity 0.8 lies with a probability of 2e-5.
-AGREE = 18
+#: falling estimate of their similarity, so many a round.  The last round takes all that is left.
+ROUNDS = ((0, 16), (16, 1 << 30))
+#: Least hashes of a set from which similarities are estimated, and the standard errors by which the estimate
+#: of a pair of similarity 0.8 lies too low with a probability of 2e-5.  Sets of no more hashes need no estimate.
+LEAST, ERRORS = 128, 4.1
 BROADCAST_ROWS = 100_000
 
 
@@ -73,7 +75,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                     least = min_hashes(s) if len(s) else np.empty(0, np.uint64)
                     fps.append(fingerprint_of(s))
                     keys.append(bands(least) if len(s) else np.empty(0, np.int64))
-                    sigs.append(least.astype(np.uint8).tobytes())
+                    sigs.append((s[: LEAST + 1] >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pd.DataFrame({"node": b["node"], "fp": np.array(fps, np.uint64).view(np.int64), "bands": keys, "sig": sigs})
 
     return rows.select("node", "text").mapInPandas(run, "node long, fp long, bands array<long>, sig binary")
@@ -122,9 +124,37 @@ def _pairs(blocks: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long").where("u <> v").distinct()
 
 
+def _likely(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of different sets: the estimated similarity, and whether it may be 0.8.
+
+    A signature has the LEAST least hashes of a set, and one more if the set has more, below which it is
+    complete.  Below the lesser of two such ends both sets are known in full.
+    """
+    n, held = len(sigs), [np.frombuffer(s, np.uint32) for s in sigs]
+    ends = np.array([int(h[LEAST]) if len(h) > LEAST else 1 << 32 for h in held], np.int64)
+    held = [h[:LEAST] for h in held]
+    values, at = np.unique(np.concatenate(held), return_inverse=True)
+    row = np.repeat(np.arange(n), [len(h) for h in held])
+    often = np.bincount(at) > 1
+    place = (np.cumsum(often) - 1)[at]
+    both = np.zeros((n, n), np.float32)
+    for first in range(0, int(often.sum()), 4096):
+        here = often[at] & (place >= first) & (place < first + 4096)
+        has = np.zeros((n, 4096), np.float32)
+        has[row[here], place[here] - first] = 1
+        both += has @ has.T
+    below = np.array([np.searchsorted(h, ends) for h in held])
+    known = np.minimum(ends[:, None], ends)
+    own = np.where(ends <= ends[:, None], below, [[len(h)] for h in held])
+    either = np.maximum(own + own.T - both, 1)
+    share = both / either
+    slack = ERRORS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * (1 - known / (1 << 32)) / either) + np.where(known < 1 << 32, 1 / either, 1e-6)
+    return share, share >= SIMILARITY - slack
+
+
 def _apart(tiles: DataFrame, low: int, high: int) -> DataFrame:
     """(u, v) of tiles (band, tile, node, fp, sig, label): of each member's candidates in its tile, by
-    falling agreement and then by node, the low-th to high-th where they have another label."""
+    falling estimate and then by node, the low-th to high-th where they have another label."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -144,16 +174,12 @@ def _apart(tiles: DataFrame, low: int, high: int) -> DataFrame:
             node, label = t["node"].to_numpy(np.int64), t["label"].to_numpy(np.int64)
             if (label == label[0]).all():
                 continue
-            sig = np.frombuffer(b"".join(t["sig"]), np.uint8).reshape(len(t), -1)
-            agree = np.zeros((len(t), len(t)), np.int16)
-            for column in sig.T:
-                agree += column[:, None] == column
-            near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, (agree >= AGREE) & ~np.eye(len(t), dtype=bool))
-            order = np.argsort(np.where(near, -agree, 1), axis=1, kind="stable")[:, low:high]
+            share, likely = _likely(t["sig"].tolist())
+            near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, likely & (label[:, None] != label))
+            order = np.argsort(np.where(near, -share, 1), axis=1, kind="stable")[:, low:high]
             i, place = np.nonzero(np.take_along_axis(near, order, axis=1))
             j = order[i, place]
-            other = label[i] != label[j]
-            i, j = node[i[other]], node[j[other]]
+            i, j = node[i], node[j]
             yield pd.DataFrame({"u": np.minimum(i, j), "v": np.maximum(i, j)})
 
     dealt = tiles.repartition("band", "tile").sortWithinPartitions("band", "tile", "node")
@@ -198,14 +224,14 @@ def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     return checkpointed(known.unionByName(fresh))
 
 
-def _joined(every: DataFrame, large: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """`labels` with the links of large blocks (band, n) that were not looked at; every: (band, node, fp, sig).
+def _joined(members: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` with the links of large blocks that were not looked at; members: (band, n, node, fp).
 
     A block of up to BLOCK members is one tile, whose candidates all end in one group or are verified.
     Larger ones are dealt out over tiles by hash, otherwise for each band.
     """
     tile = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).alias("tile")
-    tiles = checkpointed(every.join(large, "band").select("band", tile, "node", "fp", "sig"))
+    tiles = checkpointed(members.select("band", tile, "node", "fp").join(signed.select("node", "sig"), "node"))
     for low, high in ROUNDS:
         now = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = now.groupBy("band", "tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
@@ -225,14 +251,14 @@ def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     ids = checkpointed(rows.groupBy("doc_id", "node").agg(F.count("*").alias("n")))
     least = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     signed = checkpointed(_signatures(rows).dropDuplicates(["node"]))
-    every = signed.select("node", "fp", "sig", F.explode("bands").alias("band"))
+    every = signed.select("node", "fp", F.explode("bands").alias("band"))
     large = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}"))
-    tested = checkpointed(_pairs(every.drop("sig")))
+    tested = checkpointed(_pairs(every))
     # Every member of a large block is in a pair of the first round, so later rounds need no other sets.
     sets = checkpointed(_sets(rows, tested.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")))
     labels = checkpointed(connected_components(_similar(tested, sets)))
     if not large.isEmpty():
-        members = checkpointed(every.drop("sig").join(large.select("band"), "band"))
+        members = checkpointed(every.join(large, "band"))
         while True:
             roots = members.join(labels, "node", "left").where("label is null or label = node").select("node", "fp", "band")
             if roots.groupBy("band").count().where(f"count > {BLOCK}").isEmpty():
@@ -242,7 +268,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             if new.isEmpty():
                 break
             tested, labels = tested.unionByName(pairs), _merged(labels, new)
-        labels = _joined(every, large, sets, labels)
+        labels = _joined(members, signed, sets, labels)
     group = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = group.groupBy("label").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     same = group["doc_id"].eqNullSafe(chosen["best.doc_id"]) & (group["node"] == chosen["best.node"])
