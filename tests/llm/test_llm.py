@@ -215,6 +215,23 @@ def test_near_copies_of_large_blocks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def joined(spark, monkeypatch, nodes, links):
+    """Groups that near._joined makes of one block of equal signatures, where only `links` are similar."""
+    links = spark.createDataFrame(links, "u long, v long")
+    monkeypatch.setattr(near, "_similar", lambda pairs, sets: pairs.join(links, ["u", "v"], "left_semi"))
+    members = spark.createDataFrame([(0, len(nodes), n, 1) for n in nodes], "band long, n long, node long, fp long")
+    signed = members.select("node", F.lit(b"abcd").alias("sig"))
+    none = [spark.createDataFrame([], s) for s in ("node long, s binary", "node long, label long", "u long, v long")]
+    found = {r.node: r.label for r in near._joined(members, signed, *none).collect()}
+    return {n: found.get(n, n) for n in nodes}
+
+
+def test_links_beyond_the_first_candidates(spark, monkeypatch):
+    """17 and 18 are each other's 17th candidates, and both find half of the first 16 in the first round."""
+    links = [*((i, 17) for i in range(8)), *((i, 18) for i in range(8, 16)), (17, 18)]
+    assert joined(spark, monkeypatch, range(19), links) == components(range(19), links)
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, " ".join(VOCAB[:30])), (3, prose(30)), (4, None), (5, "b, C"), (6, ""), (7, " ".join(COMMON.split()[:50] + ["else"]))]
     table = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")

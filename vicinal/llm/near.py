@@ -27,9 +27,9 @@ ROWS, BANDS, RADIUS = 3, 12, 22
 #: its neighbours in the order of fingerprints and with the first; the roots of what this joins are
 #: compared again, as long as this joins more and blocks with more than BLOCK of them are left.
 PAIRWISE, NEIGHBOURS, BLOCK = 16, 2, 512
-#: Then come the pairs of a large block that are still in different groups: each member's candidates by
-#: falling estimate of their similarity, so many a round.  The last round takes all that is left.
-ROUNDS = ((0, 16), (16, 1 << 30))
+#: Then come the pairs of a large block that are still in different groups: of each member's candidates the
+#: so many of highest estimated similarity in a round.  The last round takes all but those verified before.
+ROUNDS = (16, 1 << 30)
 #: Least hashes of a set from which similarities are estimated, and the standard errors by which the estimate
 #: of a pair of similarity 0.8 lies too low with a probability of 2e-5.  Sets of no more hashes need no estimate.
 LEAST, ERRORS = 128, 4.1
@@ -152,9 +152,9 @@ def _likely(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return share, share >= SIMILARITY - slack
 
 
-def _apart(tiles: DataFrame, low: int, high: int) -> DataFrame:
-    """(u, v) of tiles (band, tile, node, fp, sig, label): of each member's candidates in its tile, by
-    falling estimate and then by node, the low-th to high-th where they have another label."""
+def _apart(tiles: DataFrame, most: int) -> DataFrame:
+    """(u, v) of tiles (band, tile, node, fp, sig, label): of each member's candidates in its tile that
+    have another label, by falling estimate and then by node, the first `most`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -176,7 +176,7 @@ def _apart(tiles: DataFrame, low: int, high: int) -> DataFrame:
                 continue
             share, likely = _likely(t["sig"].tolist())
             near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, likely & (label[:, None] != label))
-            order = np.argsort(np.where(near, -share, 1), axis=1, kind="stable")[:, low:high]
+            order = np.argsort(np.where(near, -share, 1), axis=1, kind="stable")[:, :most]
             i, place = np.nonzero(np.take_along_axis(near, order, axis=1))
             j = order[i, place]
             i, j = node[i], node[j]
@@ -224,20 +224,21 @@ def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
     return checkpointed(known.unionByName(fresh))
 
 
-def _joined(members: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """`labels` with the links of large blocks that were not looked at; members: (band, n, node, fp).
+def _joined(members: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
+    """`labels` with the links of large blocks that are not in `tested`; members: (band, n, node, fp).
 
     A block of up to BLOCK members is one tile, whose candidates all end in one group or are verified.
     Larger ones are dealt out over tiles by hash, otherwise for each band.
     """
     tile = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).alias("tile")
     tiles = checkpointed(members.select("band", tile, "node", "fp").join(signed.select("node", "sig"), "node"))
-    for low, high in ROUNDS:
+    for most in ROUNDS:
         now = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = now.groupBy("band", "tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        pairs = checkpointed(_apart(now.join(mixed.select("band", "tile"), ["band", "tile"], "left_semi"), low, high).distinct())
+        pairs = checkpointed(_apart(now.join(mixed.select("band", "tile"), ["band", "tile"], "left_semi"), most).distinct().join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
+        tested = tested.unionByName(pairs)
         new = checkpointed(_similar(pairs, sets))
         if not new.isEmpty():
             labels = _merged(labels, new)
@@ -268,7 +269,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             if new.isEmpty():
                 break
             tested, labels = tested.unionByName(pairs), _merged(labels, new)
-        labels = _joined(members, signed, sets, labels)
+        labels = _joined(members, signed, sets, labels, tested)
     group = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = group.groupBy("label").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     same = group["doc_id"].eqNullSafe(chosen["best.doc_id"]) & (group["node"] == chosen["best.node"])
