@@ -91,6 +91,15 @@ def test_more_kinds_and_redaction(docs):
     assert clean[0].text is None and clean[4].text == COPY and clean[4].spans == "x"
 
 
+def test_addresses_of_single_digits(spark):
+    rows = [(0, "8.8.8.8"), (1, "use 1.1.1.1 or\n9.9.9.9"), (2, "1.2.3"), (3, "v 2 . 1 . 0 . 4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_ip, r.base_sha256, r.spans) for r in pii.digest(pii.with_findings(df, F.col("text"))).collect()}
+    assert found == {i: (base_pii(t).count("ip"), hashlib.sha256(base_pii(t).encode()).hexdigest(), base_pii(t)) for i, t in rows}
+    assert [found[i][0] for i in range(4)] == [1, 2, 0, 0]
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["[IP]", "use [IP] or\n[IP]", *[t for _, t in rows[2:]]]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secrets.trigram_query("[0-9a-f]+") is True

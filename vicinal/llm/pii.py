@@ -89,7 +89,7 @@ def with_findings(docs: DataFrame, text: Column) -> DataFrame:
     """
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     digit = F.col("text").rlike("[0-9][ -]?[0-9]")
-    only = {"email": F.col("text").contains("@"), "ip": digit, "card": digit, "phone": F.col("text").contains("+"), "iban": digit, "ssn": digit}
+    only = {"email": F.col("text").contains("@"), "ip": F.col("text").rlike("[0-9][.][0-9]"), "card": digit, "phone": F.col("text").contains("+"), "iban": digit, "ssn": digit}
     df = S.with_matches(df, "text", [(k, PATTERNS[k], only[k]) for k in KINDS])
     good = {k: _judged(k) for k in KINDS}
     return df.select("row", "text", S.merged(KINDS, good).alias("findings"))
