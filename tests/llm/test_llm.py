@@ -241,6 +241,22 @@ def test_links_beyond_the_first_candidates(spark, monkeypatch):
     assert joined(spark, monkeypatch, range(19), links) == components(range(19), links)
 
 
+def test_links_across_tiles(spark, monkeypatch):
+    """A block of several tiles, one group larger than a tile: all pairs are looked at."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    links = [*((0, i) for i in range(1, 20)), *{tuple(sorted(rng.choice(np.arange(15, 60), 2, False).tolist())) for _ in range(25)}]
+    assert joined(spark, monkeypatch, range(60), links) == components(range(60), links)
+
+
+def test_likely_pairs_of_two_tiles():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 1 << 32, 300, dtype=np.uint32))
+    sigs = [np.sort(rng.choice(base, n, False))[: near.LEAST + 1].tobytes() for n in rng.integers(1, 290, 30)]
+    for whole, part in zip(near._likely(sigs), near._likely(sigs, 11)):
+        assert (whole[:11, 11:] == part).all()
+
+
 def test_decontamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, " ".join(VOCAB[:30])), (3, prose(30)), (4, None), (5, "b, C"), (6, ""), (7, " ".join(COMMON.split()[:50] + ["else"]))]
     table = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")

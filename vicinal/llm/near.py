@@ -124,37 +124,68 @@ def _pairs(blocks: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long").where("u <> v").distinct()
 
 
-def _likely(sigs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of all pairs of different sets: the estimated similarity, and whether it may be 0.8.
+def _likely(sigs: list[bytes], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of different sets: the estimated similarity, and whether it may be 0.8.  With `split`
+    only of the pairs of one of the first `split` sets and one of the others.
 
     A signature has the LEAST least hashes of a set, and one more if the set has more, below which it is
     complete.  Below the lesser of two such ends both sets are known in full.
     """
     n, held = len(sigs), [np.frombuffer(s, np.uint32) for s in sigs]
+    a, b = (slice(n), slice(n)) if split is None else (slice(split), slice(split, n))
     ends = np.array([int(h[LEAST]) if len(h) > LEAST else 1 << 32 for h in held], np.int64)
     held = [h[:LEAST] for h in held]
     values, at = np.unique(np.concatenate(held), return_inverse=True)
     row = np.repeat(np.arange(n), [len(h) for h in held])
     often = np.bincount(at) > 1
     place = (np.cumsum(often) - 1)[at]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((len(held[a]), len(held[b])), np.float32)
     for first in range(0, int(often.sum()), 4096):
         here = often[at] & (place >= first) & (place < first + 4096)
         has = np.zeros((n, 4096), np.float32)
         has[row[here], place[here] - first] = 1
-        both += has @ has.T
-    below = np.array([np.searchsorted(h, ends) for h in held])
-    known = np.minimum(ends[:, None], ends)
-    own = np.where(ends <= ends[:, None], below, [[len(h)] for h in held])
-    either = np.maximum(own + own.T - both, 1)
+        both += has[a] @ has[b].T
+
+    def own(x: slice, y: slice) -> np.ndarray:
+        below = np.array([np.searchsorted(h, ends[y]) for h in held[x]])
+        return np.where(ends[y] <= ends[x][:, None], below, [[len(h)] for h in held[x]])
+
+    known = np.minimum(ends[a][:, None], ends[b])
+    either = np.maximum(own(a, b) + own(b, a).T - both, 1)
     share = both / either
     slack = ERRORS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * (1 - known / (1 << 32)) / either) + np.where(known < 1 << 32, 1 / either, 1e-6)
     return share, share >= SIMILARITY - slack
 
 
+def _tiles(members: DataFrame, every: bool) -> DataFrame:
+    """Members (band, n, node, fp, sig, label) dealt out to be compared: also a, b, the numbers of two tiles
+    of the band, and side, 1 for those of b where b is another tile.
+
+    A block of up to BLOCK members is one tile.  Larger ones are dealt out by hash, otherwise for each band,
+    and each tile is compared with itself.  With `every` also with each other tile of its block, so that all
+    pairs are; groups of more than BLOCK members then have tiles of their own.  What has one label only is
+    left out.
+    """
+    part = lambda n: F.pmod(F.xxhash64("node", "band"), F.ceil(F.col(n) / BLOCK))
+    dealt = members.withColumn("tile", part("n"))
+    if every:
+        groups = members.where(f"n > {BLOCK}").groupBy("band", "label").agg(F.count("*").alias("c")).where(f"c > {BLOCK}")
+        own = F.when(F.col("c").isNotNull(), F.xxhash64("label", part("c"))).otherwise(F.col("tile"))
+        dealt = checkpointed(dealt.join(groups, ["band", "label"], "left").withColumn("tile", own).drop("c"))
+    tiles = checkpointed(dealt.groupBy("band", "tile").agg(F.min("label").alias("least"), F.max("label").alias("most")))
+    a, b = (tiles.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("tile", "least", "most")]) for x in "ab")
+    pairs = a.join(b, "band").where("tile_a <= tile_b" if every else "tile_a = tile_b")
+    pairs = pairs.where("least(least_a, least_b) <> greatest(most_a, most_b)").select("band", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
+    first = dealt.join(pairs.withColumn("tile", F.col("a")), ["band", "tile"]).withColumn("side", F.lit(0))
+    if not every:
+        return first
+    other = dealt.join(pairs.where("a <> b").withColumn("tile", F.col("b")), ["band", "tile"]).withColumn("side", F.lit(1))
+    return first.unionByName(other)
+
+
 def _apart(tiles: DataFrame, most: int) -> DataFrame:
-    """(u, v) of tiles (band, tile, node, fp, sig, label): of each member's candidates in its tile that
-    have another label, by falling estimate and then by node, the first `most`."""
+    """(u, v) of `_tiles`: of each member's candidates in its tile, or of each one's of the first tile in
+    the other, that have another label, by falling estimate and then by node, the first `most`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -162,7 +193,7 @@ def _apart(tiles: DataFrame, most: int) -> DataFrame:
             if not len(b):
                 continue
             b = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = ((b["band"] == b["band"].iloc[-1]) & (b["tile"] == b["tile"].iloc[-1])).to_numpy()
+            last = (b[["band", "a", "b"]] == b[["band", "a", "b"]].iloc[-1]).all(axis=1).to_numpy()
             cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
             held, b = b.iloc[cut:], b.iloc[:cut]
             yield from candidates(b)
@@ -170,19 +201,27 @@ def _apart(tiles: DataFrame, most: int) -> DataFrame:
             yield from candidates(held)
 
     def candidates(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for _, t in b.groupby(["band", "tile"], sort=False):
+        for (_, one, two), t in b.groupby(["band", "a", "b"], sort=False):
             node, label = t["node"].to_numpy(np.int64), t["label"].to_numpy(np.int64)
             if (label == label[0]).all():
                 continue
-            share, likely = _likely(t["sig"].tolist())
-            near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, likely & (label[:, None] != label))
-            order = np.argsort(np.where(near, -share, 1), axis=1, kind="stable")[:, :most]
-            i, place = np.nonzero(np.take_along_axis(near, order, axis=1))
-            j = order[i, place]
-            i, j = node[i], node[j]
+            split = None if one == two else int((t["side"] == 0).sum())
+            x, y = slice(split), slice(split or 0, None)
+            share, likely = _likely(t["sig"].tolist(), split)
+            near = np.zeros((len(t), len(t)), bool)
+            near[x, y] = likely & (label[x][:, None] != label[y])
+            near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, near)[x, y]
+            if most < near.shape[1]:
+                order = np.argsort(np.where(near, -share, 1), axis=1, kind="stable")[:, :most]
+                i, place = np.nonzero(np.take_along_axis(near, order, axis=1))
+                j = order[i, place]
+            else:
+                i, j = np.nonzero(near if split else np.triu(near))
+            i, j = node[x][i], node[y][j]
             yield pd.DataFrame({"u": np.minimum(i, j), "v": np.maximum(i, j)})
 
-    dealt = tiles.repartition("band", "tile").sortWithinPartitions("band", "tile", "node")
+    tiles = tiles.select("band", "a", "b", "side", "node", "fp", "sig", "label")
+    dealt = tiles.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "side", "node")
     return dealt.mapInPandas(run, "u long, v long")
 
 
@@ -227,15 +266,14 @@ def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
 def _joined(members: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """`labels` with the links of large blocks that are not in `tested`; members: (band, n, node, fp).
 
-    A block of up to BLOCK members is one tile, whose candidates all end in one group or are verified.
-    Larger ones are dealt out over tiles by hash, otherwise for each band.
+    In a round but the last, blocks of more than BLOCK members are compared within tiles; in the last one all
+    their candidates end in one group or are verified, as those of smaller blocks.
     """
-    tile = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / BLOCK)).alias("tile")
-    tiles = checkpointed(members.select("band", tile, "node", "fp").join(signed.select("node", "sig"), "node"))
+    held = checkpointed(members.select("band", "n", "node", "fp").join(signed.select("node", "sig"), "node"))
     for most in ROUNDS:
-        now = tiles.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("band", "tile").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-        pairs = checkpointed(_apart(now.join(mixed.select("band", "tile"), ["band", "tile"], "left_semi"), most).distinct().join(tested, ["u", "v"], "left_anti"))
+        now = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = _apart(_tiles(now, most == ROUNDS[-1]), most)
+        pairs = checkpointed(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
         tested = tested.unionByName(pairs)
@@ -263,7 +301,7 @@ def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         while True:
             roots = members.join(labels, "node", "left").where("label is null or label = node").select("node", "fp", "band")
             if roots.groupBy("band").count().where(f"count > {BLOCK}").isEmpty():
-                break  # tiles of whole blocks do the rest
+                break  # tiles do the rest
             pairs = checkpointed(_pairs(roots).join(tested, ["u", "v"], "left_anti"))
             new = checkpointed(_similar(pairs, sets))
             if new.isEmpty():
