@@ -224,6 +224,16 @@ def test_near_copies_of_large_blocks(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_near_copies_without_an_id(spark):
+    """Near copies with null ids are one group, and link others that are too different themselves."""
+    base = prose(300).split()
+    changed = lambda *at: " ".join(f"new{i}" if i in at else w for i, w in enumerate(base))
+    rows = [(None, changed()), (None, changed(150)), (1, changed(20, 40, 60, 80, 100)), (2, changed(180, 200, 220, 240, 260))]
+    schema = "doc_id long, text string"
+    assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows, schema)).collect()] == [1]
+    assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows[:2], schema)).collect()] == [None]
+
+
 def joined(spark, monkeypatch, nodes, links):
     """Groups that near._joined makes of one block of equal signatures, where only `links` are similar."""
     links = spark.createDataFrame(links, "u long, v long")

@@ -248,8 +248,10 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             for nodes, texts in chunks(b["node"], b["text"]):
                 yield pd.DataFrame({"node": nodes, "s": [s.tobytes() for s in shingles(texts, words)]})
 
+    nodes = nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    return rows.join(nodes, ["node", "doc_id"], "left_semi").select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
+    same = (rows["node"] == F.col("__node")) & rows["doc_id"].eqNullSafe(F.col("__id"))
+    return rows.join(nodes, same, "left_semi").select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
 
 
 def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
