@@ -234,6 +234,13 @@ def test_near_copies_without_an_id(spark):
     assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows[:2], schema)).collect()] == [None]
 
 
+@pytest.mark.parametrize("n", [near.BLOCK, 1001, 2003])
+def test_pairs_of_every_member_of_a_large_block(spark, n):
+    blocks = near.small_batches(spark.range(n)).select(F.lit(0).cast("long").alias("band"), F.xxhash64("id").alias("fp"), F.col("id").alias("node"))
+    pairs = near._pairs(blocks).collect()
+    assert {x for p in pairs for x in p} == set(range(n))
+
+
 def joined(spark, monkeypatch, nodes, links):
     """Groups that near._joined makes of one block of equal signatures, where only `links` are similar."""
     links = spark.createDataFrame(links, "u long, v long")

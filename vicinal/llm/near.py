@@ -91,8 +91,12 @@ def _pairs(blocks: DataFrame) -> DataFrame:
                 continue
             b = b if held is None else pd.concat([held, b], ignore_index=True)
             last = (b["band"] == b["band"].iloc[-1]).to_numpy()
-            cut = 0 if last.all() and len(b) < BLOCK else len(b) - 1 if last.all() else len(b) - int(last[::-1].argmin())
-            held, b = b.iloc[cut:], b.iloc[:cut]
+            if last.all() and len(b) >= BLOCK:
+                # The last rows take part again, as many as make any rest of the block a large one.
+                held = b.iloc[-PAIRWISE:]
+            else:
+                cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
+                held, b = b.iloc[cut:], b.iloc[:cut]
             yield from near(b)
         if held is not None:
             yield from near(held)
