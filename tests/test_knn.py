@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vicinal import Options, knn_join
 from vicinal.operators import partition, report, topk, verify
@@ -89,19 +90,46 @@ def test_grid_counts(spark):
 
 def test_concat_and_checks(spark):
     p = points(spark, SPREAD)
-    a, b, c = (knn_join(p.where(f"idx >= {s} and idx < {e}"), p, 3) for s, e in ((0, 20), (20, 50), (25, 50)))
-    assert rows(partition.concat([b, a])) == brute(SPREAD, SPREAD, 3)
-    with pytest.raises(ValueError):
-        partition.concat([a, c])
-    with pytest.raises(ValueError):
-        partition.concat_same_y(b, c)
+    part = lambda x, k=3, y=(0, 50): partition.Result(knn_join(P.rows_between(p, *x), p, k), x, y, k)
+    a, b, c = part((0, 20)), part((20, 50)), part((25, 50))
+    both = partition.concat([b, a])
+    assert rows(both.neighbors) == brute(SPREAD, SPREAD, 3) and (both.x, both.y, both.k) == ((0, 50), (0, 50), 3)
+    for bad in ([a, c], [b, c], [a, part((20, 50), k=2)], [a, part((20, 50), y=(0, 40))], []):
+        with pytest.raises(ValueError):
+            partition.concat(bad)
     assert partition.combinable_same_x(a, a) and not partition.combinable_same_x(a, b)
-    assert partition.combinable_same_y((3, 0, 5), (3, 0, 5)) and not partition.combinable_same_y((3, 0, 5), (2, 0, 5))
-    assert verify.all_same(a, a) and not verify.all_same(a, b)
+    assert partition.combinable_same_y(part((20, 50), y=(30, 30)), a) and not partition.combinable_same_y(part((20, 50), k=2), a)
+    assert verify.all_same(a.neighbors, a.neighbors) and not verify.all_same(a.neighbors, b.neighbors)
+
+
+def test_checks_run_no_join(spark):
+    broken = points(spark, SPREAD).select("idx", F.raise_error(F.lit("ran")).cast("array<double>").alias("v"))
+    found = [partition.Result(broken, x, (0, 50), 3) for x in partition.edges(50, 4)]
+    assert partition.concat(found).x == (0, 50)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 3, 7])
+def test_merging_results(spark, parts):
+    p = points(spark, SPREAD)
+    results = [partition.Result(knn_join(p, P.rows_between(p, *y), 20), (0, 50), y, 20) for y in partition.edges(50, parts)]
+    merged = partition.merge(results)
+    assert rows(merged.neighbors) == brute(SPREAD, SPREAD, 20) and merged.y == (0, 50)
+    with pytest.raises(ValueError):
+        partition.merge([results[0], partition.Result(results[0].neighbors, (0, 9), (50, 60), 20)])
+
+
+def test_part_of_matches_edges(spark):
+    for n, k in ((50, 7), (3, 5), (64, 8)):
+        found = [r.p for r in spark.range(n).orderBy("id").select(partition.part_of(F.col("id"), n, k).alias("p")).collect()]
+        assert found == [i for i, (a, b) in enumerate(partition.edges(n, k)) for _ in range(a, b)]
 
 
 def test_reports(spark):
     p = points(spark, [[0.0, 300.7], [5.0, -2.5]])
-    assert report.render(p, 1).orderBy("idx").first().picture == "  0\n300"
+    assert [r.picture for r in report.render(p, 1).orderBy("idx").collect()] == ["  0\n300", "  5\n -2"]
+    wide = points(spark, [[1234.0, -100.9, 7.0]])
+    assert report.render(wide, 2).first().picture == "1234 -100\n  7"
+    shown = report.with_pictures(report.extract(knn_join(p, k=2)), p, p, 2).collect()
+    assert {(r.qid, r.cid): (r.query_picture, r.picture) for r in shown}[0, 1] == ("  0 300", "  5  -2")
     assert report.summary(p).first().text == "0->2 | n: 2 d: 2"
     assert report.result_summary(knn_join(p, k=1), 0, 2).first().text == "X:0->2 | Y:0->2"

@@ -31,6 +31,28 @@ def test_labels_types_and_bad_values(spark, tmp_path):
         P.read_points_csv(spark, path, element_type="text")
 
 
+@pytest.mark.parametrize("labelled", [False, True])
+def test_loads_queries_and_corpus(spark, tmp_path, labelled):
+    label = "z," if labelled else ""
+    path = write(tmp_path, "h\n" + "".join(f"{label}{i},{i * 10},{i * 100}\n" for i in range(9)))
+    (tmp_path / "other.csv").write_text("h\n" + f"{label}5,6,7\n{label}8,9,10\n")
+    name = "z" if labelled else None
+    q, c = P.load(spark, path, 1, 3, str(tmp_path / "other.csv"), 0, 9, 2, labelled)
+    assert read(q) == [(1, name, [1, 10]), (2, name, [2, 20])] and read(c) == [(0, name, [5, 6]), (1, name, [8, 9])]
+    q, c = P.load(spark, path, 0, 2, path, 7, 9, 3, labelled)
+    assert [i for i, _, _ in read(q)] == [0, 1] and read(c) == [(7, name, [7, 70, 700]), (8, name, [8, 80, 800])]
+
+
+def test_header_of_every_file_is_skipped(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"part-{i}.csv").write_text(f"x,y\n{i},1\n{i},2\n")
+    assert read(P.read_points_csv(spark, str(tmp_path))) == [(j, None, [j // 2, j % 2 + 1]) for j in range(6)]
+
+
+def test_nanoseconds(spark):
+    assert spark.range(1).select(R.milliseconds(F.lit(2_500_000)).alias("ms")).first().ms == 2.5
+
+
 def test_ragged_rows_raise(spark, tmp_path):
     with pytest.raises(Exception, match="coordinates"):
         P.read_points_csv(spark, write(tmp_path, "h\n1,2\n3\n")).collect()
@@ -84,5 +106,8 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["generate", "-f", out, "-g", "regular", "-s", "3", "-d", "2", "-l"])
     cli.main(["query", "-f", out, "-n", "9", "-d", "2", "-k", "2", "-l", "-P"])
     assert "X:0->9 | Y:0->9" in capsys.readouterr().out
+    cli.main(["query", "-f", out, "-n", "9", "-d", "2", "-k", "2", "-l", "-m"])
+    shown = capsys.readouterr().out
+    assert "point 1, label 0\n  1   0\n  1: label 0, squared distance 0\n  1   0\n  2: label 0, squared distance 1\n" in shown and shown.count(", squared distance") == 18
     with pytest.raises(SystemExit):
         cli.main(["query", "-f", out, "-n", "0", "-d", "2", "-k", "2"])

@@ -34,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("-M", "--megabytes", type=positive, default=64, help="memory of one block of distances")
     q.add_argument("-l", "--labels", action="store_true", help="the first field is a label")
     q.add_argument("-P", "--print", action="store_true", help="print the first neighbours of the first points")
-    q.add_argument("-m", "--images", action="store_true", help="print the points as 28 by 28 pictures")
+    q.add_argument("-m", "--images", action="store_true", help="with the first neighbours, print the points as 28 by 28 pictures")
     q.add_argument("-D", "--debug", action="store_true")
     q.add_argument("--strategy", choices=STRATEGIES, default="auto")
     q.add_argument("--out", help="write the neighbours to this folder as Parquet")
@@ -49,6 +49,16 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def print_neighbors(rows: list, labels: bool, images: bool) -> None:
+    """The first queries, each followed by its nearest neighbours; rows by (qid, rank)."""
+    last = None
+    for r in rows:
+        if r.qid != last:
+            print(f"point {r.qid}" + (f", label {r.query_label}" if labels else "") + (f"\n{r.query_picture}" if images else ""))
+            last = r.qid
+        print(f"  {r.rank}: " + (f"label {r.label}" if labels else f"point {r.cid}") + f", squared distance {r.dist:g}" + (f"\n{r.picture}" if images else ""))
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("vicinal").getOrCreate()
@@ -66,11 +76,11 @@ def main(argv: list[str] | None = None) -> None:
     print(f"Total time: {(time.perf_counter() - began) * 1000:.2f} ms")
     if args.debug:
         log.debug(found._jdf.queryExecution().toString())
-    if args.print:
-        report.extract(report.with_labels(found, points, points) if args.labels else found).show(50, truncate=False)
-    if args.images:
-        for r in report.render(points.where("idx < 10")).orderBy("idx").collect():
-            print(f"{r.idx}:\n{r.picture}")
+    if args.print or args.images:
+        shown = report.extract(report.with_labels(found, points, points) if args.labels else found)
+        if args.images:
+            shown = report.with_pictures(shown, points, points)
+        print_neighbors(shown.orderBy("qid", "rank").collect(), args.labels, args.images)
     found.unpersist()
 
 

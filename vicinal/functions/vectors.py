@@ -63,8 +63,9 @@ def digits(i: Column, base: int, d: int) -> Column:
 
 
 def rendered(v: Column, width: int = 28) -> Column:
-    """Rows of `width` coordinates as text: whole numbers, three characters each."""
-    cells = F.transform(v, lambda x: F.lpad(x.cast("int").cast("string"), 3, " "))
+    """Rows of `width` coordinates as text: whole numbers of three characters, longer ones in full."""
+    cell = lambda x: F.lpad(x, F.greatest(F.length(x), F.lit(3)), F.lit(" "))
+    cells = F.transform(v, lambda x: cell(x.cast("int").cast("string")))
     starts = F.sequence(F.lit(0), F.ceil(F.size(v) / width).cast("int") - 1)
     rows = F.transform(starts, lambda r: F.array_join(F.slice(cells, r * width + 1, width), " "))
     return F.when(F.size(v) > 0, F.array_join(rows, "\n")).otherwise("")

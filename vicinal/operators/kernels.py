@@ -47,17 +47,21 @@ def nearest(xid: np.ndarray, x: np.ndarray, yid: np.ndarray, y: np.ndarray, k: i
         yield ids[rows[kept]], yid[columns[kept]], exact[kept]
 
 
-def nearest_by_heap(xid: np.ndarray, x: np.ndarray, yid: np.ndarray, y: np.ndarray, k: int, exclude_self: bool):
-    """The same by a heap of at most k entries a query, over corpus rows one block at a time."""
+def nearest_by_heap(xid: np.ndarray, x: np.ndarray, yid: np.ndarray, y: np.ndarray, k: int, exclude_self: bool, block: int = 4096):
+    """The same by a heap of at most k entries a query, over corpus rows one block at a time: only rows of
+    a block that beat the worst of a full heap are looked at one by one."""
     for i, q in zip(xid.tolist(), x):
         heap: list[tuple[float, int]] = []  # of (-dist, -id): the worst on top
-        dist = _exact(np.broadcast_to(q, y.shape), y)
-        for d, c in zip(dist.tolist(), yid.tolist()):
-            if exclude_self and c == i:
-                continue
-            if len(heap) < k:
-                heapq.heappush(heap, (-d, -c))
-            elif (-d, -c) > heap[0]:
-                heapq.heapreplace(heap, (-d, -c))
+        for s in range(0, len(y), block):
+            part, ids = y[s : s + block], yid[s : s + block]
+            dist = _exact(np.broadcast_to(q, part.shape), part)
+            near = dist <= -heap[0][0] if len(heap) == k else np.ones(len(part), bool)
+            if exclude_self:
+                near &= ids != i
+            for entry in zip((-dist[near]).tolist(), (-ids[near]).tolist()):
+                if len(heap) < k:
+                    heapq.heappush(heap, entry)
+                elif entry > heap[0]:
+                    heapq.heapreplace(heap, entry)
         best = sorted((-d, -c) for d, c in heap)
         yield np.full(len(best), i), np.array([c for _, c in best], np.int64), np.array([d for d, _ in best], float)

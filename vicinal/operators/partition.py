@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .topk import merge_all, to_neighbors, top_k_states
+
+
+@dataclass(frozen=True)
+class Result:
+    """The `k` nearest neighbours (NEIGHBORS) of the queries x[0] to x[1] among the corpus rows y[0] to
+    y[1], ends exclusive.  y may wrap around: from y[0] to the end and on from 0 to y[1]."""
+
+    neighbors: DataFrame
+    x: tuple[int, int]
+    y: tuple[int, int]
+    k: int
+
 
 def part_of(idx: Column, n: int, parts: int) -> Column:
     """Number of the even range [i n / parts, (i + 1) n / parts) that holds idx."""
     return F.floor(((idx + 1) * parts - 1) / F.lit(n)).cast("int")
 
 
+def edges(n: int, parts: int) -> list[tuple[int, int]]:
+    """The even ranges of n rows."""
+    return [(i * n // parts, (i + 1) * n // parts) for i in range(parts)]
+
+
 def bounds(spark: SparkSession, n: int, parts: int) -> DataFrame:
     """(part, x_start, x_end) of all even ranges of n rows."""
     i = F.col("id")
@@ -25,33 +44,43 @@ def gaps(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("before", before).where("before <> x_start")
 
 
-def combinable_same_x(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two NEIGHBORS tables answer the same queries."""
-    x, y = a.select("qid").distinct(), b.select("qid").distinct()
-    return x.join(y, "qid", "left_anti").isEmpty() and y.join(x, "qid", "left_anti").isEmpty()
+def combinable_same_x(a: Result, b: Result) -> bool:
+    """Whether two results answer the same queries."""
+    return a.x == b.x
+
 
+def combinable_same_y(a: Result, b: Result) -> bool:
+    """Whether the queries of two results can stand in one: both have the same k and the same corpus rows,
+    or one's corpus range has come round to where it began, which is the whole corpus."""
+    whole = any(r.y[0] == r.y[1] for r in (a, b))
+    return a.k == b.k and (whole or a.y == b.y)
 
-def combinable_same_y(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
-    """Whether results (k, y_start, y_end) can be put one after the other: the same k and the same
-    corpus range, or a range that wraps around to the whole corpus."""
-    return a[0] == b[0] and (a[1:] == b[1:] or a[1] == a[2] or b[1] == b[2])
 
+def concat(results: list[Result]) -> Result:
+    """Results of adjoining query ranges as one, in any order.
 
-def concat(results: list[DataFrame], check: bool = True) -> DataFrame:
-    """NEIGHBORS of disjoint, adjoining query ranges as one table; an error if there are gaps."""
+    Only the ranges are looked at, so no join runs for it.  An error if queries are missing between
+    two results, if two share queries, or if their neighbours aren't comparable.
+    """
+    if not results:
+        raise ValueError("nothing to combine")
+    ordered = sorted(results, key=lambda r: r.x)
+    for a, b in zip(ordered, ordered[1:]):
+        if a.x[1] != b.x[0]:
+            raise ValueError(f"queries {a.x} and {b.x} don't adjoin")
+        if not combinable_same_y(a, b):
+            raise ValueError(f"results with k = {a.k} over {a.y} and k = {b.k} over {b.y} can't stand together")
+    return replace(ordered[0], neighbors=reduce(DataFrame.unionByName, [r.neighbors for r in ordered]), x=(ordered[0].x[0], ordered[-1].x[1]))
+
+
+def merge(results: list[Result]) -> Result:
+    """Results of the same queries over disjoint corpus ranges, each beginning where the one before it ended,
+    as one over all of them."""
     if not results:
         raise ValueError("nothing to combine")
-    if check:
-        spark = results[0].sparkSession
-        ends = [r.agg(F.min("qid"), F.max("qid") + 1).first() for r in results]
-        known = [(a, b) for a, b in ends if a is not None]
-        if known and not gaps(spark.createDataFrame(known, "x_start long, x_end long")).isEmpty():
-            raise ValueError("there are gaps in the results")
-    return reduce(DataFrame.unionByName, results)
-
-
-def concat_same_y(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two query ranges over the same corpus; an error if they share a query."""
-    if not a.select("qid").join(b.select("qid"), "qid", "left_semi").isEmpty():
-        raise ValueError("the results share queries")
-    return a.unionByName(b)
+    first, last = results[0], results[-1]
+    for a, b in zip(results, results[1:]):
+        if not combinable_same_x(a, b):
+            raise ValueError(f"results of the queries {a.x} and {b.x} can't be merged")
+    merged = merge_all([top_k_states(r.neighbors, r.k) for r in results], first.k)
+    return replace(first, neighbors=to_neighbors(merged), y=(first.y[0], last.y[1]))

@@ -25,6 +25,15 @@ def render(points: DataFrame, width: int = 28) -> DataFrame:
     return points.select("idx", V.rendered(F.col("v"), width).alias("picture"))
 
 
+def with_pictures(neighbors: DataFrame, queries: DataFrame, corpus: DataFrame, width: int = 28) -> DataFrame:
+    """NEIGHBORS with query_picture and picture, the vectors of both sides as `render` shows them.
+
+    Meant for an `extract` of a result: only the points that it names are drawn.
+    """
+    drawn = lambda points, idx, name: render(points, width).select(F.col("idx").alias(idx), F.col("picture").alias(name))
+    return neighbors.join(drawn(queries, "qid", "query_picture"), "qid").join(drawn(corpus, "cid", "picture"), "cid").select(*neighbors.columns, "query_picture", "picture")
+
+
 def summary(points: DataFrame) -> DataFrame:
     """(x_start, x_end, n, d, text) of a table of points."""
     s = points.agg(F.min("idx").alias("x_start"), (F.max("idx") + 1).alias("x_end"), F.count("*").alias("n"), F.max(F.size("v")).alias("d"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,13 @@ def top_k_states(pairs: DataFrame, k: int) -> DataFrame:
 
 def merge_topk(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """States of the same queries over disjoint corpora, merged; a missing or empty state changes nothing."""
-    both = a.unionByName(b).groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("topk"))).alias("topk"))
+    return merge_all([a, b], k)
+
+
+def merge_all(states: list[DataFrame], k: int) -> DataFrame:
+    """Any number of states by one shuffle."""
+    every = reduce(DataFrame.unionByName, states)
+    both = every.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("topk"))).alias("topk"))
     return both.withColumn("topk", F.slice("topk", 1, k))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import knn, partition, report, topk, verify
+from ..operators import knn, partition, report, verify
 from ..schema import RUNS, Options
 from ..sources import points as P
 from . import runs as R
@@ -106,21 +106,17 @@ def knn_report(spark, sf_dir):
 @query("knn_merge_partitions", knn_sql())
 def knn_merge_partitions(spark, sf_dir):
     points = embeddings(spark, sf_dir)
-    n = points.count()
-    merged = None
-    for p in range(4):
-        part = points.where(partition.part_of(F.col("idx"), n, 4) == p)
-        state = topk.top_k_states(knn.knn_join(points, part, K), K)
-        merged = state if merged is None else topk.merge_topk(merged, state, K)
-    return shown(topk.to_neighbors(merged))
+    n, size = points.count(), knn.bytes_of(points)
+    results = [partition.Result(knn.knn_join(points, P.rows_between(points, *y), K, corpus_bytes=size), (0, n), y, K) for y in partition.edges(n, 4)]
+    return shown(partition.merge(results).neighbors)
 
 
 @query("knn_concat_queries", knn_sql())
 def knn_concat_queries(spark, sf_dir):
     points = embeddings(spark, sf_dir)
-    n = points.count()
-    parts = [knn.knn_join(points.where(partition.part_of(F.col("idx"), n, 3) == p), points, K) for p in range(3)]
-    return shown(partition.concat(parts))
+    n, size = points.count(), knn.bytes_of(points)
+    results = [partition.Result(knn.knn_join(P.rows_between(points, *x), points, K, corpus_bytes=size), x, (0, n), K) for x in partition.edges(n, 3)]
+    return shown(partition.concat(results).neighbors)
 
 
 _BOUNDS = """SELECT CAST(i AS INT) AS part, CAST(i * n // 7 AS BIGINT) AS x_start, CAST((i + 1) * n // 7 AS BIGINT) AS x_end
@@ -198,9 +194,9 @@ def flat_matrix(spark, sf_dir):
 
 
 @query("render_vector_grid", """SELECT vec_id AS idx, array_to_string(list_transform(range(0, 8), lambda r: array_to_string(list_transform(embedding[r * 8 + 1 : r * 8 + 8],
- lambda x: lpad(CAST(CAST(trunc(x::DOUBLE * 100) AS INT) AS VARCHAR), 3, ' ')), ' ')), chr(10)) AS picture FROM embeddings""")
+ lambda x: printf('%3d', CAST(trunc(x::DOUBLE * 3000) AS INT))), ' ')), chr(10)) AS picture FROM embeddings""")
 def render_vector_grid(spark, sf_dir):
-    points = embeddings(spark, sf_dir).withColumn("v", F.transform("v", lambda x: x * 100))
+    points = embeddings(spark, sf_dir).withColumn("v", F.transform("v", lambda x: x * 3000))
     return report.render(points, 8)
 
 
@@ -228,18 +224,22 @@ def grid_neighbor_counts(spark, sf_dir):
     return verify.neighbor_counts(knn.knn_join(queries, corpus, k))
 
 
-@query("random_grid", "SELECT i AS idx, " + ", ".join(f"CAST((i * 7919 + {c * 104729} + 42) % 1000 AS DOUBLE) AS x{c}" for c in range(4)) + " FROM range(500) t(i)")
+def _random_sql(side: int, rows: int, d: int, seed: int) -> str:
+    x = [f"(i % 2147483647 * 48271 + {(c * 69621 + seed * 16807 + side * 40692 + 1) % 2147483647}) % 2147483647" for c in range(d)]
+    return f"SELECT i AS idx, [" + ", ".join(f"CAST((({h}) * ({h}) % 2147483647 * 39373 + ({h})) % 2147483647 % 1000 AS DOUBLE)" for h in x) + f"] AS v FROM range({rows}) t(i)"
+
+
+@query("random_grid", f"SELECT idx, v[1] AS x0, v[2] AS x1, v[3] AS x2, v[4] AS x3 FROM ({_random_sql(1, 500, 4, 42)})")
 def random_grid(spark, sf_dir):
-    return P.arithmetic_grid(spark, 500, 4, 42).select("idx", *[V.element(F.col("v"), c).alias(f"x{c}") for c in range(4)])
+    return P.random_grid(spark, 0, 500, 4, 42)[1].select("idx", *[V.element(F.col("v"), c).alias(f"x{c}") for c in range(4)])
 
 
-@query("random_grid_join", """WITH p AS (SELECT i AS vec_id, [""" + ", ".join(f"CAST((i * 7919 + {c * 104729} + 42) % 1000 AS DOUBLE)" for c in range(4)) + f"""] AS v FROM range(500) t(i)),
- dd AS (SELECT a.vec_id AS qid, b.vec_id AS cid, {_DIST} AS dist FROM p a, p b WHERE a.vec_id < 100)
+@query("random_grid_join", f"""WITH q AS ({_random_sql(0, 100, 4, 42)}), p AS ({_random_sql(1, 500, 4, 42)}),
+ dd AS (SELECT a.idx AS qid, b.idx AS cid, {_DIST} AS dist FROM q a, p b)
 SELECT qid, CAST(rank AS INT) AS rank, cid, round(dist, 6) AS dist
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, cid) AS rank FROM dd) WHERE rank <= 9""")
 def random_grid_join(spark, sf_dir):
-    corpus = P.arithmetic_grid(spark, 500, 4, 42)
-    return shown(knn.knn_join(corpus.where("idx < 100"), corpus, 9))
+    return shown(knn.knn_join(*P.random_grid(spark, 100, 500, 4, 42), 9))
 
 
 @query("sequential_points", "SELECT i AS idx, i * 6.0::DOUBLE AS first, i * 6.0::DOUBLE + 5 AS last, 6 AS d FROM range(10, 200) t(i)")
@@ -248,22 +248,43 @@ def sequential_points(spark, sf_dir):
     return points.select("idx", V.element(F.col("v"), 0).alias("first"), V.element(F.col("v"), 5).alias("last"), F.size("v").alias("d"))
 
 
-_WHOLE = "list_transform(embedding[1:6], lambda x: CAST(floor(x::DOUBLE * 1000) AS BIGINT))"
+_WHOLE = "list_transform(embedding, lambda x: floor(x::DOUBLE * 1000))"
 
 
 @query("vector_to_csv_lines", f"SELECT vec_id AS idx, label || ',' || array_to_string({_WHOLE}, ',') AS value FROM embeddings")
 def vector_to_csv_lines(spark, sf_dir):
-    fields = F.transform(F.slice("v", 1, 6), lambda x: F.floor(x * 1000))
-    points = embeddings(spark, sf_dir)
-    return points.select("idx", F.concat_ws(",", "label", F.array_join(fields.cast("array<string>"), ",")).alias("value"))
+    """Whole numbers, as other fractions are written otherwise by other engines."""
+    points = embeddings(spark, sf_dir).withColumn("v", F.transform("v", lambda x: F.floor(x * 1000).cast("double")))
+    return P.csv_lines(points, labelled=True)
 
 
-@query("csv_lines_to_vector", f"""WITH l AS (SELECT vec_id AS idx, label || ',' || array_to_string({_WHOLE}, ',') AS value FROM embeddings)
-SELECT idx, split_part(value, ',', 1) AS label, CAST(split_part(value, ',', 2) AS DOUBLE) AS x0, CAST(split_part(value, ',', 5) AS DOUBLE) AS x3, 4 AS d FROM l""")
+@query("csv_lines_to_vector", "SELECT vec_id AS idx, CAST(label AS VARCHAR) AS label, generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding::DOUBLE[]) AS x FROM embeddings")
 def csv_lines_to_vector(spark, sf_dir):
-    label, v = P.parsed(F.col("value"), labelled=True, d=4)
-    points = vector_to_csv_lines(spark, sf_dir).select("idx", label.alias("label"), v.alias("v"))
-    return points.select("idx", "label", V.element(F.col("v"), 0).alias("x0"), V.element(F.col("v"), 3).alias("x3"), F.size("v").alias("d"))
+    """All coordinates, written in full precision and read back."""
+    label, v = P.parsed(F.col("value"), labelled=True, d=None)
+    lines = P.csv_lines(embeddings(spark, sf_dir), labelled=True)
+    return lines.select("idx", label.alias("label"), F.posexplode(v).alias("j", "x"))
+
+
+@query("csv_file_round_trip", """SELECT vec_id AS idx, CAST(label AS VARCHAR) AS label, generate_subscripts(embedding[1:48], 1) - 1 AS j, unnest((embedding::DOUBLE[])[1:48]) AS x
+FROM embeddings WHERE vec_id >= 20 AND vec_id < (SELECT count(*) - 30 FROM embeddings)""")
+def csv_file_round_trip(spark, sf_dir):
+    """Points written as text files with a header each, and a row range and prefix of them scanned again."""
+    points = embeddings(spark, sf_dir)
+    folder = P.scratch_folder(spark) + "/points"
+    P.write_points_csv(points, folder, 64, labelled=True, mode="overwrite")
+    found = P.read_points_csv(spark, folder, labelled=True, start=20, n=points.count() - 30, d=48)
+    return found.select("idx", "label", F.posexplode("v").alias("j", "x"))
+
+
+@query("csv_file_join", knn_sql(v="(embedding::DOUBLE[])[1:16]", pair="a.vec_id < 100 AND b.vec_id >= 100"))
+def csv_file_join(spark, sf_dir):
+    """Queries and corpus loaded from row ranges of one set of text files, then joined."""
+    points = embeddings(spark, sf_dir)
+    folder = P.scratch_folder(spark) + "/points"
+    P.write_points_csv(points, folder, 64, labelled=True, mode="overwrite")
+    n = points.count()
+    return shown(knn.knn_join(*P.load(spark, folder, 0, 100, folder, 100, n, 16, labelled=True), K))
 
 
 @query("label_split", """SELECT c_custkey AS idx, split_part(line, ',', 1) AS label, CASE WHEN contains(line, ',') THEN substr(line, instr(line, ',') + 1) ELSE line END AS rest
@@ -303,13 +324,13 @@ def _runs(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     return items.select(
         F.lit("run").alias("base_command"), F.lit("points").alias("dataset"), (F.col("l_orderkey") % 4 + 1).cast("int").alias("num_processors"),
-        F.element_at(F.array(F.lit(100), F.lit(1000), F.lit(10000)), (F.col("l_partkey") % 3 + 1).cast("int")).alias("n"),
-        F.element_at(F.array(F.lit(10), F.lit(100), F.lit(784)), F.col("l_linenumber") % 3 + 1).alias("d"), F.lit(20).alias("k"), F.col("l_quantity").alias("time"),
+        F.element_at(F.array(F.lit(300), F.lit(3000), F.lit(30000)), (F.col("l_partkey") % 3 + 1).cast("int")).alias("n"),
+        F.element_at(F.array(F.lit(16), F.lit(64), F.lit(256)), F.col("l_linenumber") % 3 + 1).alias("d"), F.lit(12).alias("k"), F.col("l_quantity").alias("time"),
     ).to(RUNS)
 
 
-_RUNS = """runs AS (SELECT CAST(l_orderkey % 4 + 1 AS INT) AS num_processors, [100, 1000, 10000][l_partkey % 3 + 1] AS n, [10, 100, 784][l_linenumber % 3 + 1] AS d,
- 20 AS k, l_quantity AS time FROM lineitem), ref AS (SELECT n, d, avg(time) AS ref_time FROM runs WHERE num_processors = 1 GROUP BY n, d),
+_RUNS = """runs AS (SELECT CAST(l_orderkey % 4 + 1 AS INT) AS num_processors, [300, 3000, 30000][l_partkey % 3 + 1] AS n, [16, 64, 256][l_linenumber % 3 + 1] AS d,
+ 12 AS k, l_quantity AS time FROM lineitem), ref AS (SELECT n, d, avg(time) AS ref_time FROM runs WHERE num_processors = 1 GROUP BY n, d),
  s AS (SELECT runs.*, ref_time, ref_time / time AS speedup FROM runs JOIN ref USING (n, d))"""
 
 
@@ -333,9 +354,9 @@ def bench_time_plot(spark, sf_dir):
     return R.plotted(_runs(spark, sf_dir).where("num_processors = 4"), "n", "time", "d").withColumn("time", F.round("time", 6))
 
 
-@query("bench_param_grid", """SELECT p AS num_processors, n, d, k FROM (VALUES (1), (4)) a(p), (VALUES (20), (2000)) b(n), (VALUES (8), (16), (32), (64), (128)) c(d), (VALUES (5), (20)) e(k) WHERE n > k""")
+@query("bench_param_grid", """SELECT p AS num_processors, n, d, k FROM (VALUES (2), (8)) a(p), (VALUES (12), (2000)) b(n), (VALUES (6), (24), (48), (64)) c(d), (VALUES (3), (12)) e(k) WHERE n > k""")
 def bench_param_grid(spark, sf_dir):
-    return R.grid(spark, [1, 4], [20, 2000], [8, 16, 32, 64, 128], [5, 20])
+    return R.grid(spark, [2, 8], [12, 2000], [6, 24, 48, 64], [3, 12])
 
 
 @query("bench_parse_time", """SELECT event_id, regexp_extract(line, 'Total time: (\\d+\\.?\\d*)', 1) AS captured

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import RUNS
 
+# Fixed value: how existing programs print their time.
 TIME = r"Total time: (\d+\.?\d*)"
 
 

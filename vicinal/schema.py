@@ -27,7 +27,7 @@ TOPK_STATE = T.StructType([
     T.StructField("topk", T.ArrayType(T.StructType([T.StructField("dist", T.DoubleType()), T.StructField("cid", T.LongType())]))),
 ])
 
-#: A log of timing runs; time is in milliseconds.
+# The columns of a log of timing runs, which existing logs have; time is in milliseconds.
 RUNS = T.StructType([
     T.StructField("base_command", T.StringType()),
     T.StructField("dataset", T.StringType()),
@@ -50,5 +50,3 @@ class Options:
     part_bytes_limit: int = 64_000_000
     broadcast_bytes: int = 64_000_000
     block_rows: int = 2_000
-    bad_value: str = "raise"
-    seed: int = 0

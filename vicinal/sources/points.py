@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = blocks.withColumn("before", before)
     placed = lines.join(blocks, ["file", "block"]).withColumn("in_block", F.col("at") - F.col("first") - (F.col("block") == 0).cast("long"))
-    return placed.where("in_block >= 0").select((F.col("before") + F.col("in_block")).alias("idx"), "value")
+    # A header has no value even where Spark looks at it before the rows are filtered, so it can't raise errors.
+    value = F.when(F.col("in_block") >= 0, F.col("value"))
+    return placed.where("in_block >= 0").select((F.col("before") + F.col("in_block")).alias("idx"), value.alias("value"))
 
 
 def parsed(line: Column, labelled: bool, d: int | None, element_type: str = "double", bad_value: str = "raise") -> tuple[Column, Column]:
@@ -65,7 +70,7 @@ def same_length(points: DataFrame, d: int | None = None) -> DataFrame:
     if d is None:
         d = points.agg(F.min(F.size("v"))).first()[0] or 0
     wrong = F.raise_error(F.format_string("a row has %d coordinates, not %d", F.size("v"), F.lit(d))).cast("array<double>")
-    return points.withColumn("v", F.when(F.size("v") == d, F.col("v")).otherwise(wrong))
+    return points.withColumn("v", F.when(F.col("v").isNull() | (F.size("v") == d), F.col("v")).otherwise(wrong))
 
 
 def rows_between(df: DataFrame, start: int = 0, end: int | None = None, column: str = "idx") -> DataFrame:
@@ -89,6 +94,17 @@ def write_points_csv(points: DataFrame, path: str, d: int, *, labelled: bool = F
     ordered.select(*columns).write.mode(mode).option("header", True).csv(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; only a local session without
+    that setting gets a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/points-{uuid.uuid4().hex}"
+
+
 # -- tables ------------------------------------------------------------------------------------
 
 
@@ -115,8 +131,16 @@ def _points(df: DataFrame, v: Column) -> DataFrame:
     return df.select(F.col("id").alias("idx"), F.lit(None).cast("string").alias("label"), v.alias("v"))
 
 
-def _hashed(seed: int, side: str, c: int, m: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.lit(side), F.col("id"), F.lit(c)), F.lit(m))
+#: The prime 2^31 - 1; numbers below it can be multiplied without overflow.
+_PRIME = 2_147_483_647
+
+
+def _hashed(seed: int, side: int, d: int, m: int) -> Column:
+    """d whole numbers below m for each (seed, side, id), by arithmetic that any SQL can repeat."""
+    first = F.col("id") % _PRIME * 48_271 + (seed * 16_807 + side * 40_692 + 1)
+    places = F.sequence(F.lit(0).cast("long"), F.lit(d - 1).cast("long"))
+    mixed = F.transform(places, lambda c: (first + c * 69_621) % _PRIME)
+    return F.transform(mixed, lambda x: (x * x % _PRIME * 39_373 + x) % _PRIME % m)
 
 
 def regular_grid(spark: SparkSession, s: int, d: int, m: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
@@ -128,20 +152,15 @@ def regular_grid(spark: SparkSession, s: int, d: int, m: int = 0, seed: int = 0)
     if m and s < 3:
         raise ValueError("a grid with fewer than 3 steps has no interior points")
     corpus = _points(spark.range(s**d), V.digits(F.col("id"), s, d))
-    inner = F.array(*[(_hashed(seed, "query", c, max(1, s - 2)) + 1).cast("double") for c in range(d)])
-    return _points(spark.range(m), inner), corpus, 3**d
+    inner = F.transform(_hashed(seed, 0, d, max(1, s - 2)), lambda x: x + 1)
+    return _points(spark.range(m), inner.cast("array<double>")), corpus, 3**d
 
 
 def random_grid(spark: SparkSession, m: int, n: int, d: int, seed: int = 0, high: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(m queries, n corpus points) with whole-number coordinates from 0 to high - 1; the same for the
     same seed however they are partitioned."""
-    side = lambda name, rows: _points(spark.range(rows), F.array(*[_hashed(seed, name, c, high).cast("double") for c in range(d)]))
-    return side("query", m), side("corpus", n)
-
-
-def arithmetic_grid(spark: SparkSession, n: int, d: int, seed: int = 0, high: int = 1000) -> DataFrame:
-    """n points whose coordinates follow a linear congruence, which any SQL can repeat."""
-    return _points(spark.range(n), F.array(*[F.pmod(F.col("id") * 7919 + c * 104729 + seed, F.lit(high)).cast("double") for c in range(d)]))
+    side = lambda number, rows: _points(spark.range(rows), _hashed(seed, number, d, high).cast("array<double>"))
+    return side(0, m), side(1, n)
 
 
 def sequential_points(spark: SparkSession, start: int, end: int, d: int) -> DataFrame:
