@@ -9,10 +9,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vicinal.llm import decontaminate, near, packing, pii, quality
-from vicinal.llm.common import table
+from vicinal.llm.common import removed, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in a row; each one's result is written as Parquet beside the checkpoints and read again."""
-    from vicinal.llm.common import shared_folder
+    """The stages in a row; each one's result is written as Parquet beside the checkpoints and read again.
 
+    The last stage keeps its pieces in a checkpoint, so the results of the others are removed.  Null, empty
+    and very long texts, repeated rows and empty tables are treated as each stage's operator says.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    removed(spark, folder)
+    return packed

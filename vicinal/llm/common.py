@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker tokenises at once; bounds its memory for any batch size.
 CHUNK_BYTES = 400_000
-#: Rows of a batch that goes to a Python worker; whole texts are longer than what Spark's own number is made for.
-BATCH_ROWS = 1_000
+#: Bytes of a batch that goes to a Python worker, if it has more than one row.
+BATCH_BYTES = 4 << 20
 
 # Bytes that are not part of an alphanumeric word: all ASCII but digits and letters.
 _ALNUM = bytes(
@@ -22,12 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """`df`; its session from now on sends at most BATCH_ROWS rows at once to Python workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """`df`; its session from now on sends BATCH_BYTES at most at once to Python workers, or one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     return df
 
 
@@ -48,20 +52,29 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared folder and cut from its lineage."""
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame, slim: bool = False) -> DataFrame:
+    """`df`, written to the shared folder and cut from its lineage.
+
+    slim: its rows are a few numbers each, so that two files a core are enough.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if slim else df).checkpoint(eager=True)
 
 
-def space_words(text: str | None) -> list[bytes]:
+def space_words(text: bytes) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
-    return (text or "").encode().lower().split()
+    return text.lower().split()
 
 
-def alnum_words(text: str | None) -> list[bytes]:
+def alnum_words(text: bytes) -> list[bytes]:
     """Runs of ASCII letters, digits and any non-ASCII characters, A-Z in lower case."""
-    return (text or "").encode().lower().translate(_ALNUM).split()
+    return text.lower().translate(_ALNUM).split()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,9 +106,9 @@ class Words:
         with np.errstate(over="ignore"):
             self.powers, self.inverse = np.cumprod(powers, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
 
-    def hashes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in a row, and the number of words up to the end of each text."""
-        raws = [(t or "").encode().lower() for t in texts]
+        raws = [t.lower() for t in texts]
         buffer = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
         if len(buffer) > len(self.powers):
             self._grow(2 * len(buffer))
@@ -125,14 +138,15 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def chunks(*columns, size: int = CHUNK_BYTES):
-    """Batches of the columns' values; the last column's texts hold about `size` characters a batch."""
-    out, held = [], 0
-    for row in zip(*columns):
-        out.append(row)
-        held += len(row[-1] or "")
-        if held >= size:
-            yield [list(c) for c in zip(*out)]
-            out, held = [], 0
-    if out:
-        yield [list(c) for c in zip(*out)]
+def text_chunks(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[list[list]]:
+    """Lists of the columns' values, a few rows at a time; the last column, text, comes as bytes (none for
+    null), about `size` of them at once."""
+    *others, text = batch.columns
+    text = pc.fill_null(text.cast(pa.large_binary()), b"")
+    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < batch.num_rows:
+        held = int(ends[first - 1]) if first else 0
+        after = max(first + 1, int(np.searchsorted(ends, held + size)))
+        yield [c.slice(first, after - first).to_pylist() for c in (*others, text)]
+        first = after

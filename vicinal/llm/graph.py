@@ -16,9 +16,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     one node has very many edges.  Nulls and loops are ignored; an empty table gives no rows.
     """
     e = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and a <> b")
-    e = checkpointed(_down(e))
+    e = checkpointed(_down(e), slim=True)
     while not _stars(e):
-        e = checkpointed(_small_star(_large_star(e)))
+        e = checkpointed(_small_star(_large_star(e)), slim=True)
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 

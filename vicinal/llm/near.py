@@ -1,10 +1,12 @@
 """Near-duplicate documents: SimHash comparison within blocks, verified on five-word shingles.
 
 Documents with a Jaccard similarity of 0.8 differ in about 10 of 64 fingerprint bits, too many for
-parts of equal bits.  Blocks here are bands of min-hashes of the same shingles, which two such
-documents share with a probability above 0.999; the fingerprints of a block are compared bit-sliced
-within a wide radius, and what remains is verified by the exact similarity of the shingle sets.  In
-large blocks an estimate from the least hashes of both sets first rules out what is far below 0.8.
+parts of equal bits.  Blocks here are bands of min-hashes of the same shingles.  In a block
+fingerprints are compared bit-sliced within a wide radius, and what remains is verified by the exact
+similarity of the shingle sets.  Pairs of small blocks are verified by a join.  In large blocks each
+text is first verified with a few others; blocks that are still in several groups then are compared
+where their sets are, and only links between groups leave the task.  Blocks too large for that are
+divided by narrower bands, and by tiles if they still are.
 """
 
 from __future__ import annotations
@@ -13,51 +15,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix, shingle_hashes, small_batches
+from .common import Words, bounded_batches, checkpointed, mix, shingle_hashes, text_chunks
 from .graph import connected_components
 from .simhash import _slabs, fingerprint_of, within
 
 WORDS, SIMILARITY = 5, 0.8
-#: min-hashes a band, bands, and the bits by which fingerprints of similar documents differ at most.
-ROWS, BANDS, RADIUS = 3, 12, 22
-#: Members of a block that are verified pair by pair at once; in larger ones each is first compared with
-#: its neighbours in the order of fingerprints and with the first; the roots of what this joins are
-#: compared again, as long as this joins more and blocks with more than BLOCK of them are left.
-PAIRWISE, NEIGHBOURS, BLOCK = 16, 2, 512
-#: Then come the pairs of a large block that are still in different groups: of each member's candidates the
-#: so many of highest estimated similarity in a round.  The last round takes all but those verified before.
-ROUNDS = (16, 1 << 30)
-#: Least hashes of a set from which similarities are estimated, and the standard errors by which the estimate
-#: of a pair of similarity 0.8 lies too low with a probability of 2e-5.  Sets of no more hashes need no estimate.
-LEAST, ERRORS = 128, 4.1
+#: Bits by which fingerprints of similar texts differ at most.  Sets of fewer than FEW shingles may differ
+#: in more, and are compared without fingerprints.
+RADIUS, FEW = 22, 10
+#: min-hashes a band, and bands, of the blocks and of the narrower ones that divide large blocks.
+ROWS, BANDS = 3, 12
+NARROW_ROWS, NARROW_BANDS = 6, 32
+#: Members of a block whose pairs are verified by a join; members of larger ones first are verified with
+#: so many neighbours in the order of fingerprints, and with the first member.
+PAIRWISE, NEIGHBOURS = 16, 2
+#: Members, and bytes of their shingle sets, that are compared with one another at once.
+BLOCK, TILE_BYTES = 512, 8 << 20
 BROADCAST_ROWS = 100_000
 
 
-def shingles(texts: list[str | None], words: Words) -> Iterator[np.ndarray]:
+def shingles(texts: list[bytes], words: Words) -> Iterator[np.ndarray]:
     """Distinct hashes of the runs of five words of each text; of all words if there are fewer."""
     h, ends = words.hashes(texts)
     for first, after in zip([0, *ends[:-1].tolist()], ends.tolist()):
         yield np.unique(shingle_hashes(h[first:after], min(WORDS, max(1, after - first))))
 
 
-_SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64))
+_SEEDS = mix(np.arange(1, 1 + ROWS * BANDS + NARROW_ROWS * NARROW_BANDS, dtype=np.uint64)) | np.uint64(1)
 
 
-def min_hashes(s: np.ndarray) -> np.ndarray:
-    return np.array([mix(s ^ seed).min() for seed in _SEEDS], np.uint64)
+def min_hashes(s: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The least product of each odd seed, which permutes the 64-bit numbers, and the hashes of a set."""
+    least = np.full(len(seeds), np.uint64(0xFFFFFFFFFFFFFFFF))
+    with np.errstate(over="ignore"):
+        for i in range(0, len(s), 2048):
+            np.minimum(least, (s[i : i + 2048] * seeds[:, None]).min(axis=1), out=least)
+    return least
 
 
-def bands(least: np.ndarray) -> np.ndarray:
+def _banded(least: np.ndarray, rows: int) -> np.ndarray:
     """A hash of each band's min-hashes, with the band's number in its last bits."""
-    least = least.reshape(BANDS, ROWS)
-    out = np.zeros(BANDS, np.uint64)
+    least = least.reshape(-1, rows)
+    out = np.zeros(len(least), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(ROWS):
+        for j in range(rows):
             out = mix(out * np.uint64(31) + least[:, j])
-    return ((out & ~np.uint64(15)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    return ((out & ~np.uint64(31)) | np.arange(len(least), dtype=np.uint64)).view(np.int64)
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    return _banded(min_hashes(s, _SEEDS[: ROWS * BANDS]), ROWS)
+
+
+def narrow_bands(s: np.ndarray) -> np.ndarray:
+    return _banded(min_hashes(s, _SEEDS[ROWS * BANDS :]), NARROW_ROWS)
 
 
 def _node(text: str) -> Column:
@@ -65,168 +80,103 @@ def _node(text: str) -> Column:
     return F.xxhash64(F.when(F.trim(F.translate(text, "\t\n\r\x0b\x0c", "     ")) != "", F.col(text)).otherwise(""))
 
 
+_BANDS = [f"b{i}" for i in range(BANDS)]
+#: What is known of a text besides its bands: its number, fingerprint and number of shingles.
+_SIGN = "node long, fp long, size int"
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct texts that have words: _SIGN and their bands."""
+    schema = pa.schema([("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), *[(b, pa.int64()) for b in _BANDS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(alnum=False)
-        for b in batches:
-            fps, keys, sigs = [], [], []
-            for (texts,) in chunks(b["text"]):
-                for s in shingles(texts, words):
-                    least = min_hashes(s) if len(s) else np.empty(0, np.uint64)
-                    fps.append(fingerprint_of(s))
-                    keys.append(bands(least) if len(s) else np.empty(0, np.int64))
-                    sigs.append((s[: LEAST + 1] >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pd.DataFrame({"node": b["node"], "fp": np.array(fps, np.uint64).view(np.int64), "bands": keys, "sig": sigs})
+        for batch in batches:
+            for nodes, texts in text_chunks(batch):
+                some = [(n, s) for n, s in zip(nodes, shingles(texts, words)) if len(s)]
+                fps = np.array([fingerprint_of(s) for _, s in some], np.uint64).view(np.int64)
+                keys = np.array([bands(s) for _, s in some], np.int64).reshape(-1, BANDS)
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array(fps), pa.array([len(s) for _, s in some], pa.int32()), *map(pa.array, keys.T)], schema=schema)
+
+    signed = rows.select("node", "text").mapInArrow(run, f"{_SIGN}, " + ", ".join(f"{b} long" for b in _BANDS))
+    return signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", *_BANDS)])
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str], most: int | None = None, again: int = 0) -> Iterator[pd.DataFrame]:
+    """Sorted rows with all rows of a key together; of a key with `most` rows pieces, of which each begins
+    with the last `again` rows of the one before."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        last = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
+        if last.all() and most is not None and len(b) >= most:
+            held = b.iloc[-again:]
+        else:
+            cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
+            held, b = b.iloc[cut:], b.iloc[:cut]
+        if len(b):
+            yield b.reset_index(drop=True)
+    if held is not None:
+        yield held.reset_index(drop=True)
+
 
-    return rows.select("node", "text").mapInPandas(run, "node long, fp long, bands array<long>, sig binary")
+def _alike(fp: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Those of the wanted pairs whose sizes and fingerprints allow a similarity of SIMILARITY."""
+    wanted = wanted & (size[:, None] >= SIMILARITY * size) & (size >= SIMILARITY * size[:, None])
+    few = size < FEW
+    return within(fp.view(np.uint64), RADIUS, wanted) | (wanted & few[:, None] & few)
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
-    """The pairs (u, v), u < v, of blocks (band, node, fp) that are verified next."""
+    """Pairs (u, v), u < v, of blocks (band, _SIGN): all of small blocks, of large ones those of neighbours in
+    the order of fingerprints and those with the first member."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            if not len(b):
-                continue
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (b["band"] == b["band"].iloc[-1]).to_numpy()
-            if last.all() and len(b) >= BLOCK:
-                # The last rows take part again, as many as make any rest of the block a large one.
-                held = b.iloc[-PAIRWISE:]
-            else:
-                cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
-                held, b = b.iloc[cut:], b.iloc[:cut]
-            yield from near(b)
-        if held is not None:
-            yield from near(held)
-
-    def near(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(b) < 2:
-            return
-        band, fp, node = (b[c].to_numpy(np.int64) for c in ("band", "fp", "node"))
-        edges = np.flatnonzero(band[1:] != band[:-1]) + 1
-        run_of = np.searchsorted(edges, np.arange(len(b)), side="right")
-        sizes = np.bincount(run_of)[run_of]
-        first = np.concatenate([[0], edges])[run_of]
-        u, v = [], []
-        small = np.flatnonzero((sizes > 1) & (sizes <= PAIRWISE))
-        for s in _slabs(run_of[small], BLOCK) if len(small) else ():
-            x = small[s]
-            i, j = np.nonzero(within(fp[x].view(np.uint64), RADIUS, np.triu(run_of[x][:, None] == run_of[x], 1)))
-            u.append(node[x[i]]), v.append(node[x[j]])
-        large = np.flatnonzero(sizes > PAIRWISE)
-        for back in range(1, NEIGHBOURS + 1):
-            other = large[large - back >= first[large]]
-            u.append(node[other]), v.append(node[other - back])
-        other = large[large - NEIGHBOURS > first[large]]
-        u.append(node[other]), v.append(node[first[other]])
-        u, v = np.concatenate(u), np.concatenate(v)
-        yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    dealt = blocks.repartition("band").sortWithinPartitions("band", "fp", "node")
+        for b in _runs(batches, ["band"], BLOCK, PAIRWISE + 1):
+            band, fp, node, size = (b[c].to_numpy(np.int64) for c in ("band", "fp", "node", "size"))
+            edges = np.flatnonzero(band[1:] != band[:-1]) + 1
+            run_of = np.searchsorted(edges, np.arange(len(b)), side="right")
+            sizes = np.bincount(run_of)[run_of]
+            first = np.concatenate([[0], edges])[run_of]
+            u, v = [], []
+            small = np.flatnonzero((sizes > 1) & (sizes <= PAIRWISE))
+            for s in _slabs(run_of[small], BLOCK) if len(small) else ():
+                x = small[s]
+                i, j = np.nonzero(_alike(fp[x], size[x], np.triu(run_of[x][:, None] == run_of[x], 1)))
+                u.append(x[i]), v.append(x[j])
+            large = np.flatnonzero(sizes > PAIRWISE)
+            for other in (*(large - back for back in range(1, NEIGHBOURS + 1)), first[large]):
+                i, j = large[ok := (other >= first[large]) & (other < large)], other[ok]
+                near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
+                near &= np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j])
+                u.append(i[near]), v.append(j[near])
+            u, v = node[np.concatenate(u)], node[np.concatenate(v)]
+            yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    dealt = blocks.select("band", "node", "fp", "size").repartition("band").sortWithinPartitions("band", "fp", "node")
     return dealt.mapInPandas(run, "u long, v long").where("u <> v").distinct()
 
 
-def _likely(sigs: list[bytes], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of all pairs of different sets: the estimated similarity, and whether it may be 0.8.  With `split`
-    only of the pairs of one of the first `split` sets and one of the others.
-
-    A signature has the LEAST least hashes of a set, and one more if the set has more, below which it is
-    complete.  Below the lesser of two such ends both sets are known in full.
-    """
-    n, held = len(sigs), [np.frombuffer(s, np.uint32) for s in sigs]
-    a, b = (slice(n), slice(n)) if split is None else (slice(split), slice(split, n))
-    ends = np.array([int(h[LEAST]) if len(h) > LEAST else 1 << 32 for h in held], np.int64)
-    held = [h[:LEAST] for h in held]
-    values, at = np.unique(np.concatenate(held), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(h) for h in held])
-    often = np.bincount(at) > 1
-    place = (np.cumsum(often) - 1)[at]
-    both = np.zeros((len(held[a]), len(held[b])), np.float32)
-    for first in range(0, int(often.sum()), 4096):
-        here = often[at] & (place >= first) & (place < first + 4096)
-        has = np.zeros((n, 4096), np.float32)
-        has[row[here], place[here] - first] = 1
-        both += has[a] @ has[b].T
-
-    def own(x: slice, y: slice) -> np.ndarray:
-        below = np.array([np.searchsorted(h, ends[y]) for h in held[x]])
-        return np.where(ends[y] <= ends[x][:, None], below, [[len(h)] for h in held[x]])
-
-    known = np.minimum(ends[a][:, None], ends[b])
-    either = np.maximum(own(a, b) + own(b, a).T - both, 1)
-    share = both / either
-    slack = ERRORS * np.sqrt(SIMILARITY * (1 - SIMILARITY) * (1 - known / (1 << 32)) / either) + np.where(known < 1 << 32, 1 / either, 1e-6)
-    return share, share >= SIMILARITY - slack
-
-
-def _tiles(members: DataFrame, every: bool) -> DataFrame:
-    """Members (band, n, node, fp, sig, label) dealt out to be compared: also a, b, the numbers of two tiles
-    of the band, and side, 1 for those of b where b is another tile.
-
-    A block of up to BLOCK members is one tile.  Larger ones are dealt out by hash, otherwise for each band,
-    and each tile is compared with itself.  With `every` also with each other tile of its block, so that all
-    pairs are; groups of more than BLOCK members then have tiles of their own.  What has one label only is
-    left out.
-    """
-    part = lambda n: F.pmod(F.xxhash64("node", "band"), F.ceil(F.col(n) / BLOCK))
-    dealt = members.withColumn("tile", part("n"))
-    if every:
-        groups = members.where(f"n > {BLOCK}").groupBy("band", "label").agg(F.count("*").alias("c")).where(f"c > {BLOCK}")
-        own = F.when(F.col("c").isNotNull(), F.xxhash64("label", part("c"))).otherwise(F.col("tile"))
-        dealt = checkpointed(dealt.join(groups, ["band", "label"], "left").withColumn("tile", own).drop("c"))
-    tiles = checkpointed(dealt.groupBy("band", "tile").agg(F.min("label").alias("least"), F.max("label").alias("most")))
-    a, b = (tiles.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("tile", "least", "most")]) for x in "ab")
-    pairs = a.join(b, "band").where("tile_a <= tile_b" if every else "tile_a = tile_b")
-    pairs = pairs.where("least(least_a, least_b) <> greatest(most_a, most_b)").select("band", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
-    first = dealt.join(pairs.withColumn("tile", F.col("a")), ["band", "tile"]).withColumn("side", F.lit(0))
-    if not every:
-        return first
-    other = dealt.join(pairs.where("a <> b").withColumn("tile", F.col("b")), ["band", "tile"]).withColumn("side", F.lit(1))
-    return first.unionByName(other)
-
+def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, s, narrow) of the nodes (node, doc_id, large): their shingle hashes in order, as bytes, and of
+    members of blocks to be divided the narrow bands."""
+    schema = pa.schema([("node", pa.int64()), ("s", pa.binary()), ("narrow", pa.list_(pa.int64()))])
 
-def _apart(tiles: DataFrame, most: int) -> DataFrame:
-    """(u, v) of `_tiles`: of each member's candidates in its tile, or of each one's of the first tile in
-    the other, that have another label, by falling estimate and then by node, the first `most`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(alnum=False)
+        for batch in batches:
+            for some, large, texts in text_chunks(batch):
+                found = list(shingles(texts, words))
+                narrow = [narrow_bands(s) if x else None for s, x in zip(found, large)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(narrow, pa.list_(pa.int64()))], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            if not len(b):
-                continue
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            last = (b[["band", "a", "b"]] == b[["band", "a", "b"]].iloc[-1]).all(axis=1).to_numpy()
-            cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
-            held, b = b.iloc[cut:], b.iloc[:cut]
-            yield from candidates(b)
-        if held is not None:
-            yield from candidates(held)
-
-    def candidates(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for (_, one, two), t in b.groupby(["band", "a", "b"], sort=False):
-            node, label = t["node"].to_numpy(np.int64), t["label"].to_numpy(np.int64)
-            if (label == label[0]).all():
-                continue
-            split = None if one == two else int((t["side"] == 0).sum())
-            x, y = slice(split), slice(split or 0, None)
-            share, likely = _likely(t["sig"].tolist(), split)
-            near = np.zeros((len(t), len(t)), bool)
-            near[x, y] = likely & (label[x][:, None] != label[y])
-            near = within(t["fp"].to_numpy(np.int64).view(np.uint64), RADIUS, near)[x, y]
-            if most < near.shape[1]:
-                order = np.argsort(np.where(near, -share, 1), axis=1, kind="stable")[:, :most]
-                i, place = np.nonzero(np.take_along_axis(near, order, axis=1))
-                j = order[i, place]
-            else:
-                i, j = np.nonzero(near if split else np.triu(near))
-            i, j = node[x][i], node[y][j]
-            yield pd.DataFrame({"u": np.minimum(i, j), "v": np.maximum(i, j)})
-
-    tiles = tiles.select("band", "a", "b", "side", "node", "fp", "sig", "label")
-    dealt = tiles.repartition("band", "a", "b").sortWithinPartitions("band", "a", "b", "side", "node")
-    return dealt.mapInPandas(run, "u long, v long")
+    nodes = nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "large")
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    same = (rows["node"] == F.col("__node")) & rows["doc_id"].eqNullSafe(F.col("__id"))
+    # rows that repeat an id and text give a set each; one is enough
+    return rows.join(nodes, same).select("node", "large", "text").mapInArrow(run, "node long, s binary, narrow array<long>").dropDuplicates(["node"])
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -245,75 +195,143 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(alike("a", "b")).select("u", "v")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of a shares with each set of b, by products of 0/1 matrices."""
+    held = [*a, *b]
+    _, at, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    place = (np.cumsum(often > 1) - 1)[at]
+    shared = often[at] > 1
+    row, place = row[shared], place[shared]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(a), len(b)))
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, 2048):
+        here = slice(*np.searchsorted(place, [first, first + 2048]))
+        has = np.zeros((len(held), 2048), np.float32)
+        has[row[here], place[here] - first] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out
+
+
+def _members(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (block, _SIGN) with label and tile, of the blocks that are in several groups.
+
+    A block of up to BLOCK members with sets of up to TILE_BYTES together is one tile; larger ones are
+    dealt out by hash, otherwise for each block.
+    """
+    now = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = now.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.min("label").alias("least"), F.max("label").alias("most"))
+    tiles = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") * 8 / TILE_BYTES))
+    of = of.where("least <> most").select("block", tiles.alias("tiles"))
+    return now.join(of, "block").withColumn("tile", F.pmod(F.xxhash64("node", "block"), F.col("tiles"))).drop("tiles")
+
+
+def _dealt(members: DataFrame, across: bool) -> DataFrame:
+    """`_members` for each pair of tiles (a, b) of a block to be compared, which are not in one group, with
+    side, 1 for those of b: each tile with itself, or with `across` each with each other."""
+    tiles = checkpointed(members.groupBy("block", "tile").agg(F.min("label").alias("least"), F.max("label").alias("most")), slim=True)
+    a, b = (tiles.select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("tile", "least", "most")]) for x in "ab")
+    pairs = a.join(b, "block").where("tile_a < tile_b" if across else "tile_a = tile_b")
+    pairs = pairs.where("least(least_a, least_b) <> greatest(most_a, most_b)").select("block", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
+    first = members.join(pairs.withColumn("tile", F.col("a")), ["block", "tile"]).withColumn("side", F.lit(0))
+    if not across:
+        return first
+    return first.unionByName(members.join(pairs.withColumn("tile", F.col("b")), ["block", "tile"]).withColumn("side", F.lit(1)))
+
+
+def _linked(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the groups (labels) that similar members of the same pair of tiles are in: of each
+    pair of tiles as many as join all groups that its links join."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(alnum=False)
-        for b in batches:
-            for nodes, texts in chunks(b["node"], b["text"]):
-                yield pd.DataFrame({"node": nodes, "s": [s.tobytes() for s in shingles(texts, words)]})
+        for b in _runs(batches, ["block", "a", "b"]):
+            for (_, one, two), t in b.groupby(["block", "a", "b"], sort=False):
+                found = compared(t, None if one == two else int((t["side"] == 0).sum()))
+                if found:
+                    yield pd.DataFrame(found, columns=["u", "v"])
+
+    def compared(t: pd.DataFrame, split: int | None) -> list[tuple[int, int]]:
+        label, fp, size = (t[c].to_numpy(np.int64) for c in ("label", "fp", "size"))
+        wanted = np.triu(label[:, None] != label, 1)
+        if split:
+            wanted[:split, :split] = wanted[split:, split:] = False
+        i, j = np.nonzero(_alike(fp, size, wanted))
+        if not len(i):
+            return []
+        rows, columns = np.unique(i), np.unique(j)
+        s = [np.frombuffer(x, np.uint64) for x in t["s"]]
+        both = _common([s[x] for x in rows], [s[x] for x in columns])[np.searchsorted(rows, i), np.searchsorted(columns, j)]
+        near = both >= SIMILARITY * (size[i] + size[j] - both)
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
 
-    nodes = nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"))
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    same = (rows["node"] == F.col("__node")) & rows["doc_id"].eqNullSafe(F.col("__id"))
-    return rows.join(nodes, same, "left_semi").select("node", "text").mapInPandas(run, "node long, s binary").dropDuplicates(["node"])
+        out = []
+        for u, v in zip(label[i[near]].tolist(), label[j[near]].tolist()):
+            if (x := top(u)) != (y := top(v)):
+                root[max(x, y)] = min(x, y)
+                out.append((min(u, v), max(u, v)))
+        return out
 
+    held = dealt.select("block", "a", "b", "side", "node", "fp", "size", "label").join(sets.select("node", "s"), "node")
+    held = held.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "side", "node")
+    return held.mapInPandas(run, "u long, v long").distinct()
 
-def _merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """(node, label) after the links `new` (u, v); nodes without a row are groups of their own."""
-    ends = [labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("u", "v")]
-    links = new.join(ends[0], "u", "left").join(ends[1], "v", "left")
-    links = links.select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u <> v")
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after the `links` (u, v) between labels; a node without a row is a group of its own."""
     roots = connected_components(links).select("node", F.col("label").alias("root"))
+    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots  # one label may have very many nodes
     known = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
     fresh = roots.join(labels, "node", "left_anti").select("node", F.col("root").alias("label"))
-    return checkpointed(known.unionByName(fresh))
-
-
-def _joined(members: DataFrame, signed: DataFrame, sets: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """`labels` with the links of large blocks that are not in `tested`; members: (band, n, node, fp).
-
-    In a round but the last, blocks of more than BLOCK members are compared within tiles; in the last one all
-    their candidates end in one group or are verified, as those of smaller blocks.
-    """
-    held = checkpointed(members.select("band", "n", "node", "fp").join(signed.select("node", "sig"), "node"))
-    for most in ROUNDS:
-        now = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = _apart(_tiles(now, most == ROUNDS[-1]), most)
-        pairs = checkpointed(pairs.distinct().join(tested, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        new = checkpointed(_similar(pairs, sets))
-        if not new.isEmpty():
-            labels = _merged(labels, new)
+    return checkpointed(known.unionByName(fresh), slim=True)
+
+
+def _divided(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks (block, _SIGN) for the large ones (band, n, _SIGN): those of up to BLOCK members as they are, and
+    the narrow bands of the members of others."""
+    whole = blocks.where(f"n <= {BLOCK}").select(F.col("band").alias("block"), "node", "fp", "size")
+    nodes = blocks.where(f"n > {BLOCK}").select("node", "fp", "size").distinct()
+    narrow = nodes.join(sets, "node").select(F.explode("narrow").alias("block"), "node", "fp", "size")
+    return whole.withColumn("kind", F.lit(0)).unionByName(narrow.withColumn("kind", F.lit(1))).select(F.xxhash64("kind", "block").alias("block"), "node", "fp", "size")
+
+
+def _joined(blocks: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """`labels` after all links within the blocks (block, _SIGN): first those within tiles, then across."""
+    for across in (False, True):
+        members = checkpointed(_members(blocks, labels), slim=True)
+        if members.isEmpty():
+            break
+        if across:  # only blocks of several tiles have something left to compare
+            several = members.groupBy("block").agg(F.min("tile").alias("x"), F.max("tile").alias("y")).where("x <> y").select("block")
+            members = members.join(several, "block", "left_semi")
+        links = checkpointed(_linked(_dealt(members, across), sets), slim=True)
+        if not links.isEmpty():
+            labels = _merged(labels, links)
     return labels
 
 
 def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc_id, node, n, kept) of each distinct (id, text), which n rows have."""
-    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", _node("text").alias("node"))
-    ids = checkpointed(rows.groupBy("doc_id", "node").agg(F.count("*").alias("n")))
+    ids = checkpointed(rows.groupBy("doc_id", "node").agg(F.count("*").alias("n")), slim=True)
     least = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    signed = checkpointed(_signatures(rows).dropDuplicates(["node"]))
-    every = signed.select("node", "fp", F.explode("bands").alias("band"))
-    large = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}"))
-    tested = checkpointed(_pairs(every))
-    # Every member of a large block is in a pair of the first round, so later rounds need no other sets.
-    sets = checkpointed(_sets(rows, tested.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(least, "node")))
-    labels = checkpointed(connected_components(_similar(tested, sets)))
+    signed = checkpointed(_signatures(rows), slim=True)
+    every = signed.select("node", "fp", "size", F.explode(F.array(*_BANDS)).alias("band"))
+    large = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}"), slim=True)
+    blocks = every.join(large, "band")
+    pairs = checkpointed(_pairs(every), slim=True)
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.lit(False).alias("large")).unionByName(blocks.select("node", (F.col("n") > BLOCK).alias("large")))
+    sets = checkpointed(_sets(rows, ends.groupBy("node").agg(F.max("large").alias("large")).join(least, "node")))
+    labels = checkpointed(connected_components(_similar(pairs, sets)), slim=True)
     if not large.isEmpty():
-        members = checkpointed(every.join(large, "band"))
-        while True:
-            roots = members.join(labels, "node", "left").where("label is null or label = node").select("node", "fp", "band")
-            if roots.groupBy("band").count().where(f"count > {BLOCK}").isEmpty():
-                break  # tiles do the rest
-            pairs = checkpointed(_pairs(roots).join(tested, ["u", "v"], "left_anti"))
-            new = checkpointed(_similar(pairs, sets))
-            if new.isEmpty():
-                break
-            tested, labels = tested.unionByName(pairs), _merged(labels, new)
-        labels = _joined(members, signed, sets, labels, tested)
+        labels = _joined(checkpointed(_divided(blocks, sets), slim=True), sets, labels)
     group = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     chosen = group.groupBy("label").agg(F.min_by(F.struct("doc_id", "node"), F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
     same = group["doc_id"].eqNullSafe(chosen["best.doc_id"]) & (group["node"] == chosen["best.node"])
@@ -325,7 +343,8 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     Texts are one group if a chain of pairs with a similarity of at least 0.8 joins them; equal texts
     always are, so are null, empty and blank ones among themselves.  The smallest doc_id of a group is
-    kept, a null one only if there is no other.  node is the text's hash.
+    kept, a null one only if there is no other.  node is the text's hash.  An empty table gives no
+    rows.  Texts may have any length: a task takes memory in proportion to the longest.
     """
     return _groups(docs, text, doc_id).drop("n")
 
@@ -333,7 +352,7 @@ def duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that `duplicates` keeps, with all their columns; of rows that repeat a kept
     id and text one stays."""
-    found = checkpointed(_groups(docs, text, doc_id).where("not kept or n > 1"))
+    found = checkpointed(_groups(docs, text, doc_id).where("not kept or n > 1"), slim=True)
     dropped, again = (found.where(w).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")) for w in ("not kept", "kept"))
     if dropped.count() <= BROADCAST_ROWS:
         dropped = F.broadcast(dropped)

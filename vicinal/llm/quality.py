@@ -13,11 +13,11 @@ from functools import reduce
 from operator import add, and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, space_words
+from .common import bounded_batches, space_words, text_chunks
 
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of the id.
 MAX_LABELLED = 5_000
@@ -34,10 +34,9 @@ _UPPER, _DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 _PUNCT, _MARKS, _BARS, _SYMBOLS, _STOPS = b",.;:", b"!?", b"|", b"*$%&#@~^<>{}=_/\\", b"."
 
 
-def statistics(text: str | None) -> tuple[float, ...]:
-    """STATS of a whole text; all 0 for a null, empty or blank one."""
-    raw = (text or "").encode()
-    lower = space_words(text)
+def statistics(raw: bytes) -> tuple[float, ...]:
+    """STATS of a whole text (UTF-8); all 0 for an empty or blank one."""
+    lower = space_words(raw)
     n = len(lower)
     if n == 0:
         return (0.0,) * len(STATS)
@@ -57,13 +56,15 @@ def statistics(text: str | None) -> tuple[float, ...]:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """row (a struct of the columns of `docs`) and the columns STATS."""
-    df = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    df = bounded_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
 
-    def run(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in series:
-            yield pd.DataFrame([statistics(t) for t in s], columns=STATS, dtype="float64")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            rows = np.array([statistics(t) for (texts,) in text_chunks(batch) for t in texts]).reshape(-1, len(STATS))
+            yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], STATS)
 
-    stats = F.pandas_udf(run, ", ".join(f"{s} double" for s in STATS))
+    stats = F.arrow_udf(run, ", ".join(f"{s} double" for s in STATS))
     return df.select("row", stats("text").alias("stats")).select("row", "stats.*")
 
 
@@ -196,7 +197,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     Null, empty and blank texts have all statistics 0 and the score of that point; repeated rows
     stay; an empty table stays empty.  The columns of `docs` are kept in one struct, so no name can
-    clash.
+    clash.  Texts may have any length: a worker takes memory in proportion to the longest.
     """
     scored = with_statistics(docs).select("row", model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

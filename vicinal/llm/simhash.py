@@ -12,11 +12,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, space_words
+from .common import bounded_batches, checkpointed, space_words, text_chunks
 from .graph import connected_components
 
 RADIUS = 2
@@ -49,12 +50,12 @@ def shingle_xxh64(words: list[bytes], k: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 3) -> DataFrame:
     """(doc_id, fp) of each row; fp is the fingerprint as a signed 64-bit number."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = np.array([fingerprint_of(shingle_xxh64(space_words(t), k)) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "fp": fps.view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint_of(shingle_xxh64(space_words(t), k)) for _, texts in text_chunks(batch) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def within(fps: np.ndarray, radius: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -178,7 +179,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
         counts = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
         hot = None
         if level < 3:
-            counts = checkpointed(counts)
+            counts = checkpointed(counts, slim=True)
             hot = counts.where(f"n > {block}").select(*keys)
         small = rows.join(counts.where(f"n <= {block}").select(*keys) if level < 3 else counts.select(*keys), keys, "left_semi")
         found = _compared(small, keys, radius)
@@ -227,13 +228,14 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
     Null, empty and blank texts have fingerprint 0 and link like any other.  Repeated rows stay.  A
     null doc_id is kept; component_id is the smallest id of the component that isn't null, or null.
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored.  Texts may have any length: one is read
+    at a time, and takes memory in proportion.
     """
-    prints = checkpointed(fingerprints(docs, text, doc_id))
+    prints = checkpointed(fingerprints(docs, text, doc_id), slim=True)
     own = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labels = connected_components(links(prints))
     grouped = own.join(labels, own.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    grouped = checkpointed(grouped)
+    grouped = checkpointed(grouped, slim=True)
     named = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
     names = grouped.join(named, "label").select("fp", "component_id")
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, checkpointed, chunks, mix, shingle_hashes, small_batches
+from .common import Words, bounded_batches, checkpointed, mix, shingle_hashes, text_chunks
 
 LENGTH = 50
 GRAM, WINDOW = 8, 40
@@ -60,17 +61,17 @@ def _keys(texts) -> list:
 def _prefixes(texts: DataFrame) -> DataFrame:
     """(h, k1, many) for each minimiser prefix of each text (k1, text); many: twice in the text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(alnum=False)
         for batch in batches:
-            for keys, docs in chunks(batch["k1"], batch["text"]):
+            for keys, docs in text_chunks(batch):
                 h, ends = words.hashes(docs)
                 at = minimisers(h, ends)
                 own = pd.DataFrame({"h": shingle_hashes(h, PREFIX)[at].view(np.int64), "k1": np.array(keys, np.int64)[np.searchsorted(ends, at, side="right")]})
                 own["many"] = own.duplicated(["h", "k1"], keep=False)
-                yield own.drop_duplicates()
+                yield pa.RecordBatch.from_pandas(own.drop_duplicates(), preserve_index=False)
 
-    return texts.select("k1", "text").mapInPandas(run, "h long, k1 long, many boolean")
+    return texts.select("k1", "text").mapInArrow(run, "h long, k1 long, many boolean")
 
 
 _SUFFIX = "h long, k1 long, k2 long, pos int, lo int, hi int, lefts binary, rights binary"
@@ -79,15 +80,17 @@ _SUFFIX = "h long, k1 long, k2 long, pos int, lo int, hi int, lefts binary, righ
 def _suffixes(texts: DataFrame) -> DataFrame:
     """The suffixes of (k1, k2, text, hs) at minimisers whose prefix is in hs, with their contexts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("h", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("lefts", pa.binary()), ("rights", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(alnum=False)
         around = np.arange(LENGTH)
         for batch in batches:
-            for k1, k2, hs, docs in chunks(batch["k1"], batch["k2"], batch["hs"], batch["text"]):
+            for k1, k2, hs, docs in text_chunks(batch):
                 h, ends = words.hashes(docs)
                 at = minimisers(h, ends)
                 prefix = shingle_hashes(h, PREFIX).view(np.int64)
-                at = at[np.isin(prefix[at], np.concatenate(hs))]
+                at = at[np.isin(prefix[at], np.concatenate([np.array(x, np.int64) for x in hs]))]
                 doc = np.searchsorted(ends, at, side="right")
                 pos, left = at - np.concatenate([[0], ends])[doc], ends[doc] - at
                 small = np.concatenate([np.zeros(WINDOW, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(LENGTH, np.uint32)])
@@ -95,13 +98,15 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                     x = at[s : s + 5000, None] + WINDOW
                     lefts, rights = small[x - 1 - around[: WINDOW - 1]], small[x + around]
                     d = doc[s : s + 5000]
-                    yield pd.DataFrame({
-                        "h": prefix[at[s : s + 5000]], "k1": np.array(k1, np.int64)[d], "k2": np.array(k2, np.int64)[d], "pos": pos[s : s + 5000],
-                        "lo": np.maximum(0, LENGTH - left[s : s + 5000]), "hi": np.minimum(WINDOW - 1, pos[s : s + 5000]),
-                        "lefts": [r.tobytes() for r in lefts], "rights": [r.tobytes() for r in rights],
-                    })
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(x) for x in (
+                            prefix[at[s : s + 5000]], np.array(k1, np.int64)[d], np.array(k2, np.int64)[d], pos[s : s + 5000].astype(np.int32),
+                            np.maximum(0, LENGTH - left[s : s + 5000]).astype(np.int32), np.minimum(WINDOW - 1, pos[s : s + 5000]).astype(np.int32),
+                            [r.tobytes() for r in lefts], [r.tobytes() for r in rights],
+                        )
+                    ], schema=schema)
 
-    return texts.select("k1", "k2", "text", "hs").mapInPandas(run, _SUFFIX)
+    return texts.select("k1", "k2", "hs", "text").mapInArrow(run, _SUFFIX)
 
 
 def _sums(matrix: np.ndarray) -> np.ndarray:
@@ -218,11 +223,12 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     words in them.  Words are divided by ASCII white space, A-Z count as a-z.  Exact copies of a text
     of LENGTH words or more repeat as a whole.  Shorter, null and empty texts have none.  A null
     doc_id is kept, repeated rows are copies, an empty table gives no rows, other columns are ignored.
+    Texts may have any length: a worker takes memory in proportion to the longest.
     """
-    rows = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("doc_id", *_keys("text"), "text")
     slim = rows.select("doc_id", "k1", "k2", F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("n_words"))
-    slim = checkpointed(slim)
+    slim = checkpointed(slim, slim=True)
     one = slim.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("n_words").alias("n_words"))
 
     every = _prefixes(rows)
@@ -234,7 +240,7 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     found = checkpointed(_suffixes(texts))
 
     sizes = found.groupBy("h").agg(F.count("*").alias("n"))
-    hot = checkpointed(sizes.where(f"n > {RUN}").select("h", F.ceil(F.col("n") / RUN).cast("int").alias("salts")))
+    hot = checkpointed(sizes.where(f"n > {RUN}").select("h", F.ceil(F.col("n") / RUN).cast("int").alias("salts")), slim=True)
     dealt = found.join(hot, "h", "left") if not hot.isEmpty() else found.withColumn("salts", F.lit(1))
     dealt = dealt.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.col("salts")).cast("int"))
     marked = checkpointed(_marked(dealt, 1 << 14))
