@@ -1,201 +1,204 @@
 """Hierarchical packing of documents into sequences of several context sizes.
 
 A document's whole windows of the largest size become sequences at once.  What remains of it is
-routed to the smallest tier that holds it and appended to that tier's open window, which is cut
-where it is full.  At the end of a partition the open windows fill one another, longest first; the
-last rest is cut into powers of two, which need no padding.  Nothing is shuffled, and a worker holds
-one document and a few counters.
+routed to the smallest tier that holds it.  There it fills the gap of a longer tier's window that it
+fits best, or opens a window of its own tier; pieces of the shortest tier that fit nowhere gather and
+fill windows of that tier.  Of too many windows that wait, the fullest is filled up with a part of
+the emptiest, and at the end of a partition the last rest is cut into powers of two; neither needs
+padding.  Documents are not shuffled, and a worker holds a bounded number of windows.  Step groups
+are balanced over the whole table afterwards, from counts.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches
+from .common import bounded_batches, checkpointed, text_chunks
+from .tokens import ENCODE, REMEMBER, Encoder, known_kind
 
 SIZE = 2048
 TIERS = (256, 512, 1024, 2048)
 #: Tokens of a step group: sequences of one tier that are trained together.
 GROUP_TOKENS = 64 * SIZE
+#: Windows with a gap, and pieces of the shortest tier, that a worker holds.
+WAITING, GATHERED = 64, 64
 END = 1
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-    "sequence_tokens long, step_group long"
+    "sequence_tokens long, tier int, part long, number long"
 )
-#: Pieces whose ids a worker remembers, in each of two generations (about 160 bytes each), and the
-#: characters of text that it encodes at once.  Smaller numbers save memory and cost time.
-REMEMBER, ENCODE = 300_000, 1_500_000
+_TYPES = {"long": pa.int64(), "int": pa.int32()}
+_ARROW = pa.schema([(c, _TYPES[t]) for c, t in (x.split() for x in SCHEMA.split(", "))])
 
+#: A part of a document: (doc_id, place of its first id in the document, its ids, ids of the document).
+Piece = tuple[int | None, int, np.ndarray, int]
 
-# ASCII and Western European letters, where the tokenizer's own expression makes these pieces.
-_LOWER = r"a-z\u00df-\u00f6\u00f8-\u00ff"
-_ODD = re.compile(r"[^ \n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\\s0-9{_LOWER}]+")
 
+class Packer:
+    """Deals pieces of documents out to sequences, which `done` gets as rows of SCHEMA."""
+
+    def __init__(self, part: int):
+        self.part, self.order, self.sequence = part, count(), count(part << 36)
+        self.numbers = {t: count() for t in TIERS}
+        #: windows with a gap, by gap: (gap, order, tier, pieces)
+        self.waiting: list[tuple[int, int, int, list[Piece]]] = []
+        #: pieces of the shortest tier, by length: (length, order, piece)
+        self.short: list[tuple[int, int, Piece]] = []
+        self.done: list[tuple] = []
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        n, at = len(ids), 0
+        while n - at >= SIZE:
+            self._close(SIZE, [(doc_id, at, ids[at : at + SIZE], n)])
+            at += SIZE
+        if at < n:
+            self._route((doc_id, at, ids[at:], n))
+
+    def _route(self, piece: Piece) -> None:
+        n = len(piece[2])
+        tier = _tier(n)
+        # the smallest gap that holds the piece, of the windows of longer tiers
+        i = bisect_left(self.waiting, (n,))
+        while i < len(self.waiting) and self.waiting[i][2] <= tier:
+            i += 1
+        if i < len(self.waiting):
+            gap, _, longer, pieces = self.waiting.pop(i)
+            self._wait(longer, [*pieces, piece], gap - n)
+        elif tier == TIERS[0]:
+            insort(self.short, (n, next(self.order), piece))
+            if len(self.short) > GATHERED:
+                self._fill_short()
+        else:
+            self._wait(tier, [piece], tier - n)
+
+    def _wait(self, tier: int, pieces: list[Piece], gap: int) -> None:
+        """Fill the gap from the shortest tier, the longest pieces first; else the window waits."""
+        while gap and self.short:
+            i = bisect_left(self.short, (gap + 1,)) - 1
+            if i < 0:
+                break
+            n, _, piece = self.short.pop(i)
+            pieces, gap = [*pieces, piece], gap - n
+        if not gap:
+            self._close(tier, pieces)
+            return
+        insort(self.waiting, (gap, next(self.order), tier, pieces))
+        if len(self.waiting) > WAITING:
+            gap, _, tier, pieces = self.waiting.pop(0)
+            while gap:
+                _, _, emptiest, rest = self.waiting.pop()
+                part, rest = _cut(rest, gap)
+                pieces, gap = pieces + part, gap - _total(part)
+            self._close(tier, pieces)
+            if rest:
+                self._wait(emptiest, rest, emptiest - _total(rest))
+
+    def _fill_short(self) -> None:
+        """A window of the shortest tier from the longest pieces; the last one is cut."""
+        pieces, fill = [], 0
+        while fill < TIERS[0]:
+            n, _, piece = self.short.pop()
+            pieces, fill = [*pieces, piece], fill + n
+        pieces, rest = _cut(pieces, TIERS[0])
+        self._close(TIERS[0], pieces)
+        for piece in rest:
+            insort(self.short, (len(piece[2]), next(self.order), piece))
+
+    def end(self) -> None:
+        """Fill what still waits up from one another, longest tiers first; the last rest is cut into
+        powers of two."""
+        rest = [p for *_, pieces in sorted(self.waiting, key=lambda w: (-w[2], w[1])) for p in pieces] + [p for *_, p in reversed(self.short)]
+        self.waiting, self.short = [], []
+        total = _total(rest)
+        while total:
+            size = min(SIZE, 1 << (total.bit_length() - 1))
+            pieces, rest = _cut(rest, size)
+            self._close(_tier(size), pieces)
+            total -= size
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    def _close(self, tier: int, pieces: list[Piece]) -> None:
+        sequence, number, tokens, offset = next(self.sequence), next(self.numbers[tier]), _total(pieces), 0
+        for doc_id, start, ids, n in pieces:
+            self.done.append((doc_id, start, len(ids), zlib.crc32(ids), n, sequence, offset, tokens, tier, self.part, number))
+            offset += len(ids)
 
-    The tokenizer drops white space and never joins what stands on either side of it, so a text's ids
-    are those of its pieces in a row, and the pieces' ids are remembered.  Texts of ASCII and Western
-    European letters are lower-cased and split here; new pieces go straight to the tokenizer's model,
-    many at once: a piece's last id, and no other, stands for a token with the end-of-word mark.
-    Chunks between blanks that hold other characters go through the whole tokenizer one by one.
-    """
 
-    def __init__(self, path: str, remember: int = REMEMBER):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.remember = remember
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = Tokenizer(self.whole.model)
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = self.whole.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(1 + max(vocabulary.values()), bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    @staticmethod
-    def _split(text: str) -> list[str]:
-        if not _ODD.search(text):
-            return _PIECES.findall(text.lower())
-        parts = []
-        for c in text.replace("\n", " ").split(" "):
-            if _ODD.search(c):
-                parts.append(c)
-            else:
-                parts += _PIECES.findall(c.lower())
-        return parts
-
-    def _learn(self, new: set[str]) -> None:
-        plain = []
-        for p in new:
-            if p in self.older:
-                self.known[p] = self.older[p]
-            elif _ODD.search(p):
-                self.known[p] = np.array(self.whole.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                plain.append(p)
-        for s in range(0, len(plain), 500):
-            some = plain[s : s + 500]
-            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
-            raw = ids.tobytes()
-            for p, a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
-                self.known[p] = raw[a:b]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
-        parts = [self._split(t or "") for t in texts]
-        found = [list(map(self.known.get, x)) for x in parts]
-        lacking = [i for i, x in enumerate(found) if None in x]
-        self._learn({p for i in lacking for p, ids in zip(parts[i], found[i]) if ids is None})
-        for i in lacking:
-            found[i] = map(self.known.__getitem__, parts[i])
-        return [b"".join(x) for x in found]
+def _tier(n: int) -> int:
+    return next(t for t in TIERS if t >= n)
 
 
-class Packer:
-    """Assigns pieces of documents to sequences.  Sequence numbers start at `first`."""
+def _total(pieces: list[Piece]) -> int:
+    return sum(len(p[2]) for p in pieces)
 
-    def __init__(self, first: int):
-        self.next = first
-        self.open: dict[int, list[tuple]] = {t: [] for t in TIERS}
-        self.fill = dict.fromkeys(TIERS, 0)
-        self.group = dict.fromkeys(TIERS, first)
-        self.in_group = dict.fromkeys(TIERS, 0)
 
-    def add(self, doc_id, ids: bytes) -> Iterator[tuple]:
-        n, at = len(ids) // 4, 0
-        while n - at >= SIZE:
-            yield from self._close(SIZE, [self._piece(doc_id, ids, at, SIZE, n, 0)], SIZE)
-            at += SIZE
-        if at < n:
-            tier = next(t for t in TIERS if t >= n - at)
-            while at < n:
-                take = min(n - at, tier - self.fill[tier])
-                self.open[tier].append(self._piece(doc_id, ids, at, take, n, self.fill[tier]))
-                self.fill[tier] += take
-                at += take
-                if self.fill[tier] == tier:
-                    yield from self._close(tier, self.open[tier], tier)
-                    self.open[tier], self.fill[tier] = [], 0
-
-    def end(self) -> Iterator[tuple]:
-        """Fill the long windows' gaps from the shorter tiers; pieces keep their ids for that."""
-        rest = [(p[0], p[1], p[7], p[4]) for t in reversed(TIERS) for p in self.open[t]]
-        total = sum(len(p[2]) // 4 for p in rest)
-        while rest:
-            size = SIZE if total >= SIZE else 1 << (total.bit_length() - 1)
-            pieces, fill = [], 0
-            while fill < size:
-                doc_id, start, ids, n = rest.pop(0)
-                take = min(len(ids) // 4, size - fill)
-                pieces.append((doc_id, start, take, zlib.crc32(ids[: 4 * take]), n, fill))
-                if 4 * take < len(ids):
-                    rest.insert(0, (doc_id, start + take, ids[4 * take :], n))
-                fill += take
-            yield from self._close(next(t for t in TIERS if t >= size), pieces, size)
-            total -= size
+def _cut(pieces: list[Piece], size: int) -> tuple[list[Piece], list[Piece]]:
+    """The first `size` ids of the pieces, or all, and the rest."""
+    out = []
+    for i, (doc_id, start, ids, n) in enumerate(pieces):
+        if not size:
+            return out, pieces[i:]
+        out.append((doc_id, start, ids[:size], n))
+        if len(ids) > size:
+            return out, [(doc_id, start + size, ids[size:], n), *pieces[i + 1 :]]
+        size -= len(ids)
+    return out, []
+
 
-    @staticmethod
-    def _piece(doc_id, ids: bytes, at: int, take: int, n: int, offset: int) -> tuple:
-        part = ids[4 * at : 4 * (at + take)]
-        return doc_id, at, take, zlib.crc32(part), n, offset, None, part
+def _pieces(docs: DataFrame, tokenizer: str, text: str, doc_id: str, remember: int, encode: int) -> DataFrame:
+    by_pieces = known_kind(tokenizer)
 
-    def _close(self, tier: int, pieces: list[tuple], tokens: int) -> Iterator[tuple]:
-        """Number the sequence and balance step groups: each gets GROUP_TOKENS of its tier."""
-        if self.in_group[tier] >= GROUP_TOKENS:
-            self.group[tier], self.in_group[tier] = self.next, 0
-        elif self.in_group[tier] == 0:
-            self.group[tier] = self.next
-        self.in_group[tier] += tokens
-        for p in pieces:
-            yield *p[:5], self.next, p[5], tokens, self.group[tier]
-        self.next += 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, packer = Encoder(tokenizer, remember, by_pieces), Packer(TaskContext.get().partitionId())
+        end = np.array([END], "<u4")
+
+        def taken() -> pa.RecordBatch:
+            rows, packer.done = packer.done, []
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+        for batch in batches:
+            for numbers, texts in text_chunks(batch, encode):
+                for i, ids in zip(numbers, encoder.encode(texts)):
+                    packer.add(i, np.concatenate([ids, end]))
+                if len(packer.done) > 20_000:
+                    yield taken()
+        packer.end()
+        if packer.done:
+            yield taken()
+
+    rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, SCHEMA)
 
 
 def pack(
     docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", remember: int = REMEMBER, encode: int = ENCODE
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
-    sequence_tokens (ids in the sequence) and step_group.
-
-    A null or empty text is a document of the end id alone; a null doc_id is kept as null; repeated
-    rows are packed each; an empty table gives no rows; other columns are ignored.  Sequence ids are
-    unique: the partition's number in the high bits.  `tokenizer` is a file that every executor has;
-    `remember` and `encode` bound a worker's memory and change no result.
+    sequence_tokens (ids in the sequence), tier and step_group.
+
+    Ids are the tokenizer's own for the whole text, without special tokens at its ends, and END.  A
+    null or empty text is a document of END alone; a null doc_id is kept as null; repeated rows are
+    packed each; an empty table gives no rows; other columns are ignored.  A text may be of any
+    length: it takes memory in proportion in one worker.  Sequence ids are unique, but depend on how
+    the rows are partitioned.  The sequences of a tier are divided into step groups of GROUP_TOKENS
+    tokens, whose numbers of sequences differ by one at most.  `tokenizer` is a file that the driver and
+    every executor have; `remember` and `encode` bound a worker's memory and change no result.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, packer = Encoder(tokenizer, remember), Packer(TaskContext.get().partitionId() << 36)
-        end = np.array([END], "<u4").tobytes()
-        columns = [x.split()[0] for x in SCHEMA.split(", ")]
-
-        def frame(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
-
-        rows: list[tuple] = []
-        for batch in batches:
-            for numbers, texts in chunks(batch["doc_id"].astype("Int64"), batch["text"], size=encode):
-                for i, ids in zip(numbers, encoder.encode(texts)):
-                    rows += packer.add(i, ids + end)
-                if len(rows) > 20_000:
-                    yield frame(rows)
-                    rows = []
-        rows += packer.end()
-        if rows:
-            yield frame(rows)
-
-    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, SCHEMA)
+    pieces = checkpointed(_pieces(docs, tokenizer, text, doc_id, remember, encode))
+    counts = pieces.where("offset = 0").groupBy("tier", "part").agg(F.count("*").alias("n"))
+    tier = Window.partitionBy("tier")
+    before = F.coalesce(F.sum("n").over(tier.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("tier", "part", before.alias("before"), F.sum("n").over(tier).alias("every"))
+    groups = F.greatest(F.lit(1), F.round(F.col("every") * F.col("tier") / GROUP_TOKENS).cast("long"))
+    group = F.floor((F.col("before") + F.col("number")) * groups / F.col("every"))
+    return pieces.join(counts, ["tier", "part"]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", group.cast("long").alias("step_group")
+    )
