@@ -29,6 +29,46 @@ def exclusive_sums(xs: Column) -> Column:
     return F.flatten(F.zip_with(runs, _sums(totals, F.lit(0)), lambda r, b: _sums(r, b)))
 
 
+def united(spans: Column) -> Column:
+    """Sorted spans with those that overlap an earlier one left out, and `end` moved to the last end of each
+    group: the spans of a group begin before the greatest end of those before them."""
+    ends = _greatest(F.transform(spans, lambda x: x["end"]))  # up to and with each
+    before = F.concat(F.array(F.lit(-1)), F.slice(ends, 1, F.size(spans) - 1))
+    marked = F.zip_with(spans, before, lambda x, b: F.struct(x.alias("s"), b.alias("before")))
+    firsts = F.filter(marked, lambda x: x["s"]["start"] >= x["before"])
+    # a group reaches as far as what stands before the next group's first, the last one as far as all
+    reach = F.concat(F.slice(F.transform(firsts, lambda x: x["before"]), 2, F.size(spans)), F.array(F.element_at(ends, -1)))
+    joined = F.zip_with(firsts, reach, lambda x, r: x["s"].withField("end", r))
+    return F.when(F.size(spans) > 1, joined).otherwise(spans)
+
+
+def _greatest(xs: Column) -> Column:
+    """The greatest element up to and with each, in runs so that long arrays stay cheap."""
+    step = lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), x)))
+    sweep = lambda r, first: F.slice(F.aggregate(r, F.array(first), step), 2, F.size(r))
+    runs = F.transform(F.sequence(F.lit(0), ((F.size(xs) - 1) / _RUN).cast("int")), lambda c: F.slice(xs, c * _RUN + 1, _RUN))
+    tops = F.aggregate(F.transform(runs, F.array_max), F.array(F.lit(-1)), step)
+    return F.flatten(F.zip_with(runs, F.slice(tops, 1, F.size(runs)), sweep))
+
+
+#: Characters of a chunk of a text.
+CHUNK = 256
+
+
+def chunked(text: Column) -> Column:
+    """A text in chunks of CHUNK code points, which `between` cuts without walking the whole text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def between(chunks: Column, a: Column, b: Column) -> Column:
+    """The text of `chunks` from code point a to b (null: the end), end exclusive."""
+    number = lambda x: F.floor(x / CHUNK).cast("int")
+    last = F.when(b.isNull(), F.size(chunks)).otherwise(number(b) + 1)
+    text = F.array_join(F.slice(chunks, number(a) + 1, F.greatest(last - number(a), F.lit(0))), "")
+    whole = F.substring(text, a % CHUNK + 1, b - a)
+    return F.when(b.isNull(), F.substring(text, a % CHUNK + 1, F.length(text))).otherwise(whole)
+
+
 def with_matches(df: DataFrame, text: str, patterns: Iterable[tuple[str, str, Column | None]]) -> DataFrame:
     """Adds m_<kind>: array of (start, end, value, before, after) for each (kind, pattern, only_if).
 
