@@ -1,12 +1,17 @@
-"""Not-modified revisits of web captures, resolved against the responses they refer to."""
+"""Not-modified revisits of web captures, resolved against the responses they refer to.
+
+Captures are dealt out in the order of URL and time, so a URL with very many captures takes many tasks,
+however they are spread over time.  A revisit finds the latest earlier response in its own slice of
+that order, or the last one of an earlier slice, carried forward.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Seconds of a slice of time.  One URL's captures are sorted by slice, so a hot URL takes many tasks.
-SLICE = 86_400
+from .common import checkpointed
+
 # Header fields that a not-modified answer may bring up to date.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 # Query parameters that don't tell pages apart.
@@ -27,7 +32,7 @@ def canonical_url(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, tail))
 
 
-def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFrame:
+def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row per revisit record, joined as of its time to the latest earlier full response of its URL.
 
     records: record_id long, url, ts long (seconds), kind ('response' or 'revisit'), status int, etag,
@@ -39,20 +44,23 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFram
     'unvalidated' if there is none on both sides; 'no_response' without an earlier response or
     without a usable URL or time.  headers of a resolved record are the response's, with the
     permitted ones of the revisit in their place; of others, the revisit's own.  Null maps count as
-    empty, repeated records stay, other columns are ignored, an empty table gives no rows.
+    empty, repeated records stay, other columns are ignored, an empty table gives no rows.  URLs and
+    headers may have any length.
     """
     r = records.select(
         "record_id", canonical_url(F.col("url")).alias("u"), F.col("ts").cast("long").alias("ts"), "kind", "status", "etag", "last_modified", "digest",
         F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"),
     )
-    r = r.withColumn("slice", F.floor(F.col("ts") / slice_seconds))
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     said = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
     usable = r.where("u is not null and ts is not null and (kind = 'revisit' or (kind = 'response' and status = 200))")
-    # within a slice; revisits come before the responses of the same second
-    order = Window.partitionBy("u", "slice").orderBy("ts", F.when(full, 1).otherwise(0), "record_id")
+    # revisits come before the responses of the same second; the last column parts records that are repeated
+    usable = usable.withColumn("late", F.when(full, 1).otherwise(0)).withColumn("copy", F.monotonically_increasing_id())
+    dealt = usable.repartitionByRange("u", "ts", "late", "record_id", "copy").withColumn("slice", F.spark_partition_id()).drop("copy")
+    usable = checkpointed(dealt)
+    order = Window.partitionBy("u", "slice").orderBy("ts", "late", "record_id")
     inside = usable.withColumn("near", F.last(F.when(full, said), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    inside = inside.where("kind = 'revisit'")
+    inside = inside.where("kind = 'revisit'").drop("late")
     # from earlier slices: the last response of each, carried forward over slices with revisits
     lasts = usable.where(full).groupBy("u", "slice").agg(F.max_by(F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"), F.struct("ts", "record_id")).alias("last"))
     asked = inside.where("near is null").select("u", "slice").distinct()
@@ -61,7 +69,7 @@ def resolve_revisits(records: DataFrame, slice_seconds: int = SLICE) -> DataFram
     carried = slices.withColumn("far", F.last("last", ignorenulls=True).over(by_slice)).where("asked").select("u", "slice", "far")
     late = inside.where("near is null").join(carried, ["u", "slice"], "left")
     joined = inside.where("near is not null").withColumn("m", F.col("near")).unionByName(late.withColumn("m", F.col("far")).drop("far"))
-    lost = r.where("kind = 'revisit' and (u is null or ts is null)").withColumn("near", F.lit(None).cast(joined.schema["near"].dataType)).withColumn("m", F.col("near"))
+    lost = r.where("kind = 'revisit' and (u is null or ts is null)").withColumn("slice", F.lit(None).cast("int")).withColumn("near", F.lit(None).cast(joined.schema["near"].dataType)).withColumn("m", F.col("near"))
     return _judged(joined.unionByName(lost))
 
 
