@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mtree, packing, pii, quality, secrets, simhash, suffixes, warc
+from . import decontaminate, licenses, mtree, packing, pii, quality, secrets, simhash, sql, suffixes, warc
 from .common import table
 
 
@@ -80,7 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_revisits, op2_decontamination, op3_pii, op4_simhash, op5_secrets, op6_top_k, op7_packing, op8_repeats, op9_quality, op10_licenses,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(sql.SQL)
 
 _CANONICAL = """SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical_url
 FROM (SELECT page_id, digest,
