@@ -102,20 +102,16 @@ def _signatures(rows: DataFrame) -> DataFrame:
     return signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", *_BANDS)])
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str], most: int | None = None, again: int = 0) -> Iterator[pd.DataFrame]:
-    """Sorted rows with all rows of a key together; of a key with `most` rows pieces, of which each begins
-    with the last `again` rows of the one before."""
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted rows, dealt out by their keys, with all rows of a key together."""
     held = None
     for b in batches:
         if not len(b):
             continue
         b = b if held is None else pd.concat([held, b], ignore_index=True)
         last = (b[keys] == b[keys].iloc[-1]).all(axis=1).to_numpy()
-        if last.all() and most is not None and len(b) >= most:
-            held = b.iloc[-again:]
-        else:
-            cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
-            held, b = b.iloc[cut:], b.iloc[:cut]
+        cut = 0 if last.all() else len(b) - int(last[::-1].argmin())
+        held, b = b.iloc[cut:], b.iloc[:cut]
         if len(b):
             yield b.reset_index(drop=True)
     if held is not None:
@@ -130,33 +126,53 @@ def _alike(fp: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 def _pairs(blocks: DataFrame) -> DataFrame:
-    """Pairs (u, v), u < v, of blocks (band, _SIGN): all of small blocks, of large ones those of neighbours in
-    the order of fingerprints and those with the first member."""
+    """The pairs (u, v), u < v, of small blocks (band, _SIGN) that may be similar."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in _runs(batches, ["band"], BLOCK, PAIRWISE + 1):
+        for b in _runs(batches, ["band"]):
             band, fp, node, size = (b[c].to_numpy(np.int64) for c in ("band", "fp", "node", "size"))
-            edges = np.flatnonzero(band[1:] != band[:-1]) + 1
-            run_of = np.searchsorted(edges, np.arange(len(b)), side="right")
-            sizes = np.bincount(run_of)[run_of]
-            first = np.concatenate([[0], edges])[run_of]
-            u, v = [], []
-            small = np.flatnonzero((sizes > 1) & (sizes <= PAIRWISE))
-            for s in _slabs(run_of[small], BLOCK) if len(small) else ():
-                x = small[s]
+            run_of = np.cumsum(np.concatenate([[0], band[1:] != band[:-1]]))
+            some = np.flatnonzero(np.bincount(run_of)[run_of] > 1)
+            for s in _slabs(run_of[some], BLOCK) if len(some) else ():
+                x = some[s]
                 i, j = np.nonzero(_alike(fp[x], size[x], np.triu(run_of[x][:, None] == run_of[x], 1)))
-                u.append(x[i]), v.append(x[j])
-            large = np.flatnonzero(sizes > PAIRWISE)
-            for other in (*(large - back for back in range(1, NEIGHBOURS + 1)), first[large]):
-                i, j = large[ok := (other >= first[large]) & (other < large)], other[ok]
+                u, v = node[x[i]], node[x[j]]
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    dealt = blocks.select("band", "node", "fp", "size").repartition("band").sortWithinPartitions("band", "fp", "node")
+    return dealt.mapInPandas(run, "u long, v long")
+
+
+def _neighbours(blocks: DataFrame) -> DataFrame:
+    """Some pairs (u, v), u < v, of large blocks (band, _SIGN): neighbours in the order of fingerprints, and each
+    member with the first of its block in the task.
+
+    Blocks are dealt out by ranges of fingerprints, so a very large one takes many tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            band, fp, node, size = (b[c].to_numpy(np.int64) for c in ("band", "fp", "node", "size"))
+            first = np.concatenate([[0], np.flatnonzero(band[1:] != band[:-1]) + 1])
+            first = first[np.searchsorted(first, np.arange(len(b)), side="right") - 1]
+            u, v = [], []
+            for other in (*(np.arange(len(b)) - back for back in range(1, NEIGHBOURS + 1)), first):
+                i = np.flatnonzero((other >= first) & (other < np.arange(len(b))))
+                j = other[i]
                 near = np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS
                 near &= np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j])
-                u.append(i[near]), v.append(j[near])
-            u, v = node[np.concatenate(u)], node[np.concatenate(v)]
+                u.append(node[i[near]]), v.append(node[j[near]])
+            u, v = np.concatenate(u), np.concatenate(v)
             yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+            last = int(first[-1])
+            held = b.iloc[sorted({last, *range(max(last, len(b) - NEIGHBOURS), len(b))})]  # the first of the open block, and the last
 
-    dealt = blocks.select("band", "node", "fp", "size").repartition("band").sortWithinPartitions("band", "fp", "node")
-    return dealt.mapInPandas(run, "u long, v long").where("u <> v").distinct()
+    dealt = blocks.select("band", "node", "fp", "size").repartitionByRange("band", "fp", "node").sortWithinPartitions("band", "fp", "node")
+    return dealt.mapInPandas(run, "u long, v long")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,7 +342,9 @@ def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     every = signed.select("node", "fp", "size", F.explode(F.array(*_BANDS)).alias("band"))
     large = checkpointed(every.groupBy("band").agg(F.count("*").alias("n")).where(f"n > {PAIRWISE}"), slim=True)
     blocks = every.join(large, "band")
-    pairs = checkpointed(_pairs(every), slim=True)
+    small = every.join(large.select("band"), "band", "left_anti")
+    pairs = _pairs(small) if large.isEmpty() else _pairs(small).unionByName(_neighbours(blocks))
+    pairs = checkpointed(pairs.where("u <> v").distinct(), slim=True)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.lit(False).alias("large")).unionByName(blocks.select("node", (F.col("n") > BLOCK).alias("large")))
     sets = checkpointed(_sets(rows, ends.groupBy("node").agg(F.max("large").alias("large")).join(least, "node")))
     labels = checkpointed(connected_components(_similar(pairs, sets)), slim=True)
