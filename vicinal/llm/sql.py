@@ -72,7 +72,7 @@ SQL["op8_repeats"] = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, re
 w AS (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word, len(w) AS n FROM t WHERE len(w) >= {_N}),
 ten AS (SELECT r, i, n, md5({_LEADS('word', 10, 1)}) AS h FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
 whole AS (SELECT r, i, n, md5({_LEADS('h', _N // 10, 10)}) AS h FROM ten WINDOW o AS (PARTITION BY r ORDER BY i)),
-twice AS (SELECT r, i FROM (SELECT r, i, n, count(*) OVER (PARTITION BY h) AS c FROM whole WHERE i + {_N} <= n) WHERE c > 1),
+twice AS (SELECT r, i FROM (SELECT r, i, min(r) OVER (PARTITION BY h) AS a, max(r) OVER (PARTITION BY h) AS b FROM whole WHERE i + {_N} <= n) WHERE a <> b),
 parts AS (SELECT r, i, sum(CAST(coalesce(i > before + {_N}, true) AS INT)) OVER (PARTITION BY r ORDER BY i) AS part FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM twice)),
 spans AS (SELECT r, min(i) AS first, max(i) + {_N} AS after FROM parts GROUP BY r, part)
 SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, CAST(coalesce(sum(after - first), 0) AS BIGINT) AS n_repeated, coalesce(string_agg(first || ':' || after, ',' ORDER BY first), '') AS spans

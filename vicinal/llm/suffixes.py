@@ -2,9 +2,9 @@
 
 Only suffixes at minimiser positions are kept: the place of the smallest k-gram hash in each window
 of consecutive k-grams, which the text itself determines, so equal passages keep equal suffixes.
-Suffixes whose first words occur more than once are sorted and compared with their neighbours; the
+Suffixes whose first words occur in several texts are sorted and compared with their neighbours; the
 common prefixes then are extended to the left.  A word is repeated if it lies in a passage of
-LENGTH words that stands at two places or more.
+LENGTH words that stands in another document as well.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def _keys(texts) -> list:
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """(h, k1, many) for each minimiser prefix of each text (k1, text); many: twice in the text."""
+    """(h, k1) for each distinct minimiser prefix of each text (k1, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(alnum=False)
@@ -68,10 +68,9 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                 h, ends = words.hashes(docs)
                 at = minimisers(h, ends)
                 own = pd.DataFrame({"h": shingle_hashes(h, PREFIX)[at].view(np.int64), "k1": np.array(keys, np.int64)[np.searchsorted(ends, at, side="right")]})
-                own["many"] = own.duplicated(["h", "k1"], keep=False)
                 yield pa.RecordBatch.from_pandas(own.drop_duplicates(), preserve_index=False)
 
-    return texts.select("k1", "text").mapInArrow(run, "h long, k1 long, many boolean")
+    return texts.select("k1", "text").mapInArrow(run, "h long, k1 long")
 
 
 _SUFFIX = "h long, k1 long, k2 long, pos int, lo int, hi int, lefts binary, rights binary"
@@ -119,9 +118,19 @@ def _sums(matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def compare(run: np.ndarray, lefts: np.ndarray, rights: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether an element's key has elements of more than one document."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    least, most = (f.reduceat(doc[order], starts) for f in (np.minimum, np.maximum))
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(least != most, np.diff(np.append(starts, len(key))))
+    return out
+
+
+def compare(run: np.ndarray, lefts: np.ndarray, rights: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For sorted suffixes: the most and least words to the left with which a window of LENGTH words
-    around the suffix start occurs twice in its run; -1 and WINDOW where there is none."""
+    around the suffix start occurs in several documents of its run; -1 and WINDOW where there is none."""
     same = (rights[1:] == rights[:-1]) & (run[1:] == run[:-1])[:, None]
     common = np.where(same.all(axis=1), LENGTH, same.argmin(axis=1))
     common = np.where(run[1:] == run[:-1], common, -1)
@@ -130,16 +139,13 @@ def compare(run: np.ndarray, lefts: np.ndarray, rights: np.ndarray, lo: np.ndarr
     for o in range(WINDOW):
         block = np.concatenate([[0], np.cumsum(common < LENGTH - o)]).astype(np.uint64)
         rows = np.flatnonzero((lo <= o) & (o <= hi))
+        if not len(rows):
+            continue
         with np.errstate(over="ignore"):
             key = mix(block[rows] * _B) ^ left[rows, o]
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        twin = np.zeros(len(rows), bool)
-        equal = ranked[1:] == ranked[:-1]
-        twin[order[1:][equal]] = True
-        twin[order[:-1][equal]] = True
-        most[rows[twin]] = o
-        least[rows[twin]] = np.minimum(least[rows[twin]], o)
+        found = rows[_several(key, doc[rows])]
+        most[found] = o
+        least[found] = np.minimum(least[found], o)
     return most, least
 
 
@@ -148,7 +154,7 @@ _PACK = np.dtype([("key", "<u8"), ("k1", "<i8"), ("k2", "<i8"), ("pos", "<i4"),
 
 
 def _marked(suffixes: DataFrame, most_buckets: int) -> DataFrame:
-    """Repeated places (k1, k2, first, after); of divided runs also their distinct windows, packed."""
+    """Repeated places (k1, k2, first, after); of divided runs also their windows, packed."""
 
     def spans(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(b):
@@ -157,8 +163,8 @@ def _marked(suffixes: DataFrame, most_buckets: int) -> DataFrame:
         run_of = np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(axis=1))])
         lefts = np.frombuffer(b"".join(b["lefts"]), np.uint32).reshape(len(b), WINDOW - 1)
         rights = np.frombuffer(b"".join(b["rights"]), np.uint32).reshape(len(b), LENGTH)
-        lo, hi, pos = (b[c].to_numpy(np.int64) for c in ("lo", "hi", "pos"))
-        most, least = compare(run_of, lefts, rights, lo, hi)
+        lo, hi, pos, doc = (b[c].to_numpy(np.int64) for c in ("lo", "hi", "pos", "k1"))
+        most, least = compare(run_of, lefts, rights, lo, hi, doc)
         found = most >= 0
         out = pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "first": pos - most, "after": pos - least + LENGTH})[found]
         yield out.assign(h=None, bucket=None, pack=None).astype({"h": "Int64", "bucket": "Int32"})
@@ -173,11 +179,17 @@ def _marked(suffixes: DataFrame, most_buckets: int) -> DataFrame:
             rows = np.flatnonzero((b["lo"].to_numpy() <= o) & (o <= b["hi"].to_numpy()))
             with np.errstate(over="ignore"):
                 key = mix(left[rows, o] * _B + right[rows, LENGTH - o] + np.uint64(o))
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            part = np.zeros(len(first), _PACK)
-            part["key"], part["o"], part["done"] = key[first], o, n > 1
+            if not len(rows):
+                continue
+            # of a window that several documents here have one is enough for those in other parts
+            done = _several(key, b["k1"].to_numpy()[rows])
+            first = np.zeros(len(rows), bool)
+            first[np.unique(key, return_index=True)[1]] = True
+            some = np.flatnonzero(first | ~done)
+            part = np.zeros(len(some), _PACK)
+            part["key"], part["o"], part["done"] = key[some], o, done[some]
             for c in ("k1", "k2", "pos"):
-                part[c] = b[c].to_numpy()[rows[first]]
+                part[c] = b[c].to_numpy()[rows[some]]
             parts.append(part)
         every = np.concatenate(parts)
         buckets = min(most_buckets, 8 * int(b["salts"].iloc[0]))
@@ -203,12 +215,13 @@ def _marked(suffixes: DataFrame, most_buckets: int) -> DataFrame:
 
 
 def _united(packs: DataFrame) -> DataFrame:
-    """Windows that stand in several parts of a divided run: (k1, k2, first, after)."""
+    """Windows that documents in several parts of a divided run have: (k1, k2, first, after)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         every = np.frombuffer(b"".join(group["pack"]), _PACK)
-        _, inverse, n = np.unique(every["key"], return_inverse=True, return_counts=True)
-        new = every[(n[inverse] > 1) & (every["done"] == 0)]
+        # a window that is done in one part has several documents, whatever the others are
+        done = np.isin(every["key"], every["key"][every["done"] == 1])
+        new = every[(done | _several(every["key"], every["k1"])) & (every["done"] == 0)]
         first = new["pos"].astype(np.int64) - new["o"]
         return pd.DataFrame({"k1": new["k1"], "k2": new["k2"], "first": first, "after": first + LENGTH})
 
@@ -219,8 +232,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     """doc_id, n_words, n_repeated and spans of each row of `docs`.
 
     spans: first:after word numbers (from 0, end exclusive) of the passages whose words stand, in
-    runs of LENGTH words or more, at a second place of the table; joined by commas.  n_repeated: the
-    words in them.  Words are divided by ASCII white space, A-Z count as a-z.  Exact copies of a text
+    runs of LENGTH words or more, in another row as well; joined by commas.  n_repeated: the words in
+    them.  What repeats within one row only isn't counted.  Words are divided by ASCII white space, A-Z count as a-z.  Exact copies of a text
     of LENGTH words or more repeat as a whole.  Shorter, null and empty texts have none.  A null
     doc_id is kept, repeated rows are copies, an empty table gives no rows, other columns are ignored.
     Texts may have any length: a worker takes memory in proportion to the longest.
@@ -232,9 +245,8 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     one = slim.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("n_words").alias("n_words"))
 
     every = _prefixes(rows)
-    twice = every.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("many").alias("many"), F.count("*").alias("n"))
-    twice = twice.where("a <> b or many").select("h", "n")
-    wanted = every.join(twice.select("h"), "h").groupBy("k1").agg(F.collect_set("h").alias("hs"))
+    several = every.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("h")
+    wanted = every.join(several, "h").groupBy("k1").agg(F.collect_set("h").alias("hs"))
     chosen = one.select("k1", "k2", "least").join(wanted, "k1")
     texts = rows.join(chosen, ["k1", "k2"]).where("doc_id <=> least").select("k1", "k2", "text", "hs")
     found = checkpointed(_suffixes(texts))
