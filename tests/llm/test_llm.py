@@ -279,12 +279,13 @@ def test_near_copies_without_an_id(spark):
     assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows[:2], schema)).collect()] == [None]
 
 
-@pytest.mark.parametrize("n", [near.BLOCK, 1001, 2003])
-def test_pairs_of_every_member_of_a_large_block(spark, n):
+@pytest.mark.parametrize("n", [40, 1001])
+def test_neighbours_in_a_large_block(spark, n):
+    """Fingerprints in order differ in few bits, so that each member is in a pair, whatever task it is in."""
     fp = F.shiftright(F.lit(-1).cast("long"), 40) + F.col("id") % 7
     blocks = bounded_batches(spark.range(n)).select(F.lit(0).cast("long").alias("band"), fp.alias("fp"), F.lit(50).alias("size"), F.col("id").alias("node"))
-    pairs = near._pairs(blocks).collect()
-    assert {x for p in pairs for x in p} == set(range(n))
+    pairs = near._neighbours(blocks).collect()
+    assert {x for p in pairs for x in p} == set(range(n)) and len(pairs) <= (near.NEIGHBOURS + 2) * n
 
 
 def family(seed, bases, members):
@@ -455,20 +456,23 @@ def test_another_tokenizer():
 
 
 @pytest.mark.parametrize("run", [suffixes.RUN, 1])
-def test_repeats(docs, empty, run, monkeypatch):
+def test_repeats(spark, docs, empty, run, monkeypatch):
     monkeypatch.setattr(suffixes, "RUN", run)
+    inside, both = prose(70), prose(64)
+    more = [f"{inside} x {inside}", f"{both} y {both} z {both}", f"{prose(9)} {both} {both[:40]}", f"{both} {inside[:30]}"]
+    docs = docs.unionByName(spark.createDataFrame([(300 + i, t, "x", 1, "y") for i, t in enumerate(more)], docs.schema))
     seen = {}
     every = texts(docs)
-    for _, t in every:
+    for row, (_, t) in enumerate(every):
         w = words(t)
         for j in range(len(w) - 49):
-            seen[tuple(w[j : j + 50])] = seen.get(tuple(w[j : j + 50]), 0) + 1
+            seen.setdefault(tuple(w[j : j + 50]), set()).add(row)
     want = []
     for i, t in every:
         w = words(t)
         marks = np.zeros(len(w) + 2, int)
         for j in range(len(w) - 49):
-            if seen[tuple(w[j : j + 50])] > 1:
+            if len(seen[tuple(w[j : j + 50])]) > 1:
                 marks[j + 1 : j + 51] = 1
         d = np.diff(marks)
         want.append((str(i), len(w), int(marks.sum()), ",".join(f"{a}:{b}" for a, b in zip(np.flatnonzero(d == 1), np.flatnonzero(d == -1)))))
@@ -614,6 +618,26 @@ def test_revisits(spark):
     assert warc.resolve_revisits(df.where("false")).count() == 0
 
 
+def test_very_long_text(spark):
+    """A text of a few megabytes, whose end counts, beside a short one."""
+    body = " ".join(RNG.choice(VOCAB, 400_000))
+    rows = [(1, f"{body} mail a.b@c.de AKIA{'Q' * 16} licensed under the apache license version 2 0 {PASSAGE}"), (2, PASSAGE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(words(rows[0][1]))
+    assert [r.n_email for r in pii.digest(pii.with_findings(df, F.col("text"))).orderBy("doc_id").collect()] == [1, 0]
+    assert "[EMAIL]" in pii.redact(df).where("doc_id = 1").first().text[-500:]
+    assert [r.n_access for r in secrets.digest(secrets.with_findings(df, F.col("text"))).orderBy("doc_id").collect()] == [1, 0]
+    found = licenses.scan(df).where("doc_id = 1").first()
+    assert found.labels == "apache,apache-2.0" and found.first_word > 400_000
+    assert {r.doc_id: r.fingerprint for r in simhash.components(df).collect()}[2] == f"{fingerprint(PASSAGE):016x}"
+    assert {r.doc_id: (r.n_words, r.spans) for r in suffixes.repeats(df).collect()} == {1: (n, f"{n - 60}:{n}"), 2: (60, "0:60")}
+    assert near.deduplicate(df).count() == 2
+    assert packing.pack(df, PATH).agg(F.max("doc_tokens")).first()[0] > 400_000
+    items = spark.createDataFrame([(7, PASSAGE)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(df, items).collect()} == {1, 2}
+    assert quality.score(df, quality.Model(0.5, [((("log_words", ">", 10.0),), 1.0)])).where("score > 0.8").count() == 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(name, spark, sf, duck):
     ours, theirs = queries.QUERIES[name](spark, sf).toPandas(), duck.sql(queries.SQL[name]).df()
