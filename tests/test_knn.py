@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal import Options, knn_join
-from vicinal.operators import partition, report, topk, verify
+from vicinal.operators import matrix, partition, report, topk, verify
 from vicinal.schema import POINTS
 from vicinal.sources import points as P
 
@@ -133,3 +133,17 @@ def test_reports(spark):
     assert {(r.qid, r.cid): (r.query_picture, r.picture) for r in shown}[0, 1] == ("  0 300", "  5  -2")
     assert report.summary(p).first().text == "0->2 | n: 2 d: 2"
     assert report.result_summary(knn_join(p, k=1), 0, 2).first().text == "X:0->2 | Y:0->2"
+
+
+def test_matrix_product(spark):
+    q, c = points(spark, SPREAD[:7], 20), points(spark, SPREAD)
+    found = {(r.qid, r.cid): r.dot for r in matrix.matrix_product(q, c, Options(block_rows=9, part_bytes_limit=500)).collect()}
+    want = {(20 + i, j): float(SPREAD[i] @ SPREAD[j]) for i in range(7) for j in range(50)}
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_vectors_of_several_lengths_raise(spark):
+    ragged = spark.createDataFrame([(0, None, [1.0, 2.0]), (1, None, [1.0])], POINTS)
+    for strategy in ("gemm", "blocked"):
+        with pytest.raises(Exception, match="coordinates"):
+            knn_join(ragged.coalesce(1), k=1, strategy=strategy).collect()
