@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import knn, matrix, partition, report, verify
-from ..schema import RUNS, Options
+from ..schema import NEIGHBORS, RUNS, Options
 from ..sources import points as P
 from . import runs as R
 
@@ -196,11 +198,25 @@ def flat_matrix(spark, sf_dir):
     return report.flat_matrix(embeddings(spark, sf_dir), 64)
 
 
-@query("render_vector_grid", """SELECT vec_id AS idx, array_to_string(list_transform(range(0, 8), lambda r: array_to_string(list_transform(embedding[r * 8 + 1 : r * 8 + 8],
- lambda x: printf('%3d', CAST(trunc(x::DOUBLE * 3000) AS INT))), ' ')), chr(10)) AS picture FROM embeddings""")
+_PICTURES = """SELECT vec_id AS idx, array_to_string(list_transform(range(0, 8), lambda r: array_to_string(list_transform(embedding[r * 8 + 1 : r * 8 + 8],
+ lambda x: printf('%3d', CAST(trunc(x::DOUBLE * 3000) AS INT))), ' ')), chr(10)) AS picture FROM embeddings"""
+
+
+def _pictured(spark, sf_dir):
+    """Points with coordinates of up to four digits, to be shown as 8 by 8 pictures."""
+    return embeddings(spark, sf_dir).withColumn("v", F.transform("v", lambda x: x * 3000))
+
+
+@query("render_vector_grid", _PICTURES)
 def render_vector_grid(spark, sf_dir):
-    points = embeddings(spark, sf_dir).withColumn("v", F.transform("v", lambda x: x * 3000))
-    return report.render(points, 8)
+    return report.render(_pictured(spark, sf_dir), 8)
+
+
+@query("neighbor_pictures", f"""WITH n AS ({knn_sql()}), s AS ({_PICTURES})
+SELECT n.*, q.picture AS query_picture, c.picture FROM n JOIN s q ON q.idx = qid JOIN s c ON c.idx = cid WHERE qid < 10 AND rank <= 5""")
+def neighbor_pictures(spark, sf_dir):
+    found = report.extract(shown(knn.knn_join(embeddings(spark, sf_dir), k=K)))
+    return report.with_pictures(found, _pictured(spark, sf_dir), _pictured(spark, sf_dir), 8)
 
 
 @query("packet_summary", """SELECT *, format('{}->{} | n: {} d: {}', x_start, x_end, n, d) AS text FROM
@@ -290,6 +306,40 @@ def csv_file_join(spark, sf_dir):
     return shown(knn.knn_join(*P.load(spark, folder, 0, 100, folder, 100, n, 16, labelled=True), K))
 
 
+@query("csv_element_types", """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE) AS as_float, CAST(c_nationkey AS DOUBLE) AS as_int FROM customer""")
+def csv_element_types(spark, sf_dir):
+    """Columns written as text files, scanned as single-precision and as whole numbers."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    folder, read = P.scratch_folder(spark), []
+    for name, column in (("float", "c_acctbal"), ("int", "c_nationkey")):
+        lines = customers.select(F.col("c_custkey").cast("long").alias("idx"), F.lit(None).cast("string").alias("label"), F.array(F.col(column)).alias("v"))
+        P.write_points_csv(lines, f"{folder}/{name}", 1)
+        read.append(P.read_points_csv(spark, f"{folder}/{name}", d=1, element_type=name).select("idx", V.element(F.col("v"), 0).alias(f"as_{name}")))
+    return read[0].join(read[1], "idx")
+
+
+@query("neighbors_csv", knn_sql())
+def neighbors_csv(spark, sf_dir):
+    """The result of a join, written as text files and read back."""
+    folder = P.scratch_folder(spark) + "/neighbors"
+    shown(knn.knn_join(embeddings(spark, sf_dir), k=K)).write.csv(folder, header=True)
+    return spark.read.schema(NEIGHBORS).csv(folder, header=True)
+
+
+@query("command_line", f"""WITH p AS (SELECT i AS vec_id, [CAST(i % 4 AS DOUBLE), CAST(i // 4 % 4 AS DOUBLE), CAST(i // 16 AS DOUBLE)] AS v FROM range(64) t(i) WHERE i < 50),
+ dd AS (SELECT a.vec_id AS qid, b.vec_id AS cid, {_DIST} AS dist FROM p a, p b)
+SELECT qid, CAST(rank AS INT) AS rank, cid, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, cid) AS rank FROM dd) WHERE rank <= 6""")
+def command_line(spark, sf_dir):
+    """A grid generated and joined with itself by the command line."""
+    from .. import __main__ as cli
+
+    folder = P.scratch_folder(spark)
+    with contextlib.redirect_stdout(io.StringIO()):
+        cli.main(["generate", "-f", f"{folder}/grid", "-g", "regular", "-s", "4", "-d", "3", "-l"])
+        cli.main(["query", "-f", f"{folder}/grid", "-n", "50", "-d", "3", "-k", "6", "-l", "--out", f"{folder}/found"])
+    return spark.read.parquet(f"{folder}/found")
+
+
 @query("label_split", """SELECT c_custkey AS idx, split_part(line, ',', 1) AS label, CASE WHEN contains(line, ',') THEN substr(line, instr(line, ',') + 1) ELSE line END AS rest
 FROM (SELECT c_custkey, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ',' || c_nationkey || ',' || c_custkey END AS line FROM customer)""")
 def label_split(spark, sf_dir):
@@ -368,3 +418,18 @@ def bench_parse_time(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.when(F.col("event_id") % 4 == 0, "failed").otherwise(F.concat(F.lit("Total time: "), F.col("event_id").cast("string"), F.lit(".25 ms")))
     return R.parse_time(events.select("event_id", line.alias("line"))).select("event_id", "captured")
+
+
+@query("bench_log", f"WITH {_RUNS} SELECT n, d, num_processors, count(*) AS runs, round(avg(speedup), 6) AS speedup FROM s GROUP BY n, d, num_processors")
+def bench_log(spark, sf_dir):
+    """Runs written to a log and read from it."""
+    path = P.scratch_folder(spark) + "/runs"
+    R.write_runs(_runs(spark, sf_dir), path)
+    found = R.with_speedup(R.read_runs(spark, path)).groupBy("n", "d", "num_processors")
+    return found.agg(F.count("*").alias("runs"), F.round(F.avg("speedup"), 6).alias("speedup"))
+
+
+@query("bench_milliseconds", "SELECT event_id, event_id * 250000 / 1000000 AS ms FROM events")
+def bench_milliseconds(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select("event_id", R.milliseconds(F.col("event_id") * 250_000).alias("ms"))
