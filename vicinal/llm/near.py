@@ -175,9 +175,9 @@ def _neighbours(blocks: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "u long, v long")
 
 
-def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     """(node, s, narrow) of the nodes (node, doc_id, large): their shingle hashes in order, as bytes, and of
-    members of blocks to be divided the narrow bands."""
+    members of blocks to be divided the narrow bands.  repeated: whether rows repeat an id and text."""
     schema = pa.schema([("node", pa.int64()), ("s", pa.binary()), ("narrow", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +191,8 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes = nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "large")
     nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     same = (rows["node"] == F.col("__node")) & rows["doc_id"].eqNullSafe(F.col("__id"))
-    # rows that repeat an id and text give a set each; one is enough
-    return rows.join(nodes, same).select("node", "large", "text").mapInArrow(run, "node long, s binary, narrow array<long>").dropDuplicates(["node"])
+    found = rows.join(nodes, same).select("node", "large", "text").mapInArrow(run, "node long, s binary, narrow array<long>")
+    return found.dropDuplicates(["node"]) if repeated else found
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -346,7 +346,8 @@ def _groups(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     pairs = _pairs(small) if large.isEmpty() else _pairs(small).unionByName(_neighbours(blocks))
     pairs = checkpointed(pairs.where("u <> v").distinct(), slim=True)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node"), F.lit(False).alias("large")).unionByName(blocks.select("node", (F.col("n") > BLOCK).alias("large")))
-    sets = checkpointed(_sets(rows, ends.groupBy("node").agg(F.max("large").alias("large")).join(least, "node")))
+    nodes = ends.groupBy("node").agg(F.max("large").alias("large")).join(least, "node")
+    sets = checkpointed(_sets(rows, nodes, not ids.where("n > 1").isEmpty()))
     labels = checkpointed(connected_components(_similar(pairs, sets)), slim=True)
     if not large.isEmpty():
         labels = _joined(checkpointed(_divided(blocks, sets), slim=True), sets, labels)
