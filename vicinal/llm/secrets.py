@@ -20,6 +20,8 @@ from .common import checkpointed
 #: Candidate texts (16 to 100 bytes each) up to which their list is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 100_000
 _EXACT = 64
+#: Trigrams of a string that are looked up.
+EACH = 3
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,15 @@ def _join(op: str, parts: list):
 
 
 def _of_strings(strings: set[str]):
-    return _join("or", [_join("and", [s[i : i + 3] for i in range(len(s) - 2)]) for s in sorted(strings)])
+    """What a text that has one of the strings must contain; a string that has another one adds nothing."""
+    least = [s for s in sorted(strings) if not any(t in s for t in strings - {s})]
+    return _join("or", [_join("and", _spread([s[i : i + 3] for i in range(len(s) - 2)])) for s in least])
+
+
+def _spread(trigrams: list[str]) -> list[str]:
+    """At most EACH of a string's trigrams, first and last ones included; more rule little out."""
+    n = len(trigrams)
+    return trigrams if n <= EACH else [trigrams[i * (n - 1) // (EACH - 1)] for i in range(EACH)]
 
 
 def _of_node(op, arg) -> tuple[set[str] | None, object]:
