@@ -61,10 +61,14 @@ def removed(spark: SparkSession, folder: str) -> None:
 def checkpointed(df: DataFrame, slim: bool = False) -> DataFrame:
     """`df`, written to the shared folder and cut from its lineage.
 
-    slim: its rows are a few numbers each, so that two files a core are enough.
+    slim: its rows are a few numbers each, so that a file for eight shuffle partitions, or two a core if
+    these are more, are enough.
     """
-    shared_folder(df.sparkSession)
-    return (df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism) if slim else df).checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_folder(spark)
+    if slim:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    return df.checkpoint(eager=True)
 
 
 def space_words(text: bytes) -> list[bytes]:
