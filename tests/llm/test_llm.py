@@ -155,7 +155,9 @@ def test_addresses_of_single_digits(spark):
 def test_trigram_queries():
     assert secrets.trigram_query("AKIA[A-Z0-9]+") == ("and", ("aki", "kia"))
     assert secrets.trigram_query("[0-9a-f]+") is True
-    assert secrets.trigram_query("(abc|def)x?") == ("or", ("abc", ("and", ("abc", "bcx")), "def", ("and", ("def", "efx"))))
+    assert secrets.trigram_query("(abc|def)x?") == ("or", ("abc", "def"))
+    assert secrets.trigram_query("(abcx|bcde)f") == ("or", (("and", ("abc", "bcx", "cxf")), ("and", ("bcd", "cde", "def"))))
+    assert secrets.trigram_query("abcdefg") == ("and", ("abc", "cde", "efg"))
     assert secrets.trigram_query("abc|de") is True
     assert secrets.trigram_query("[Ab][cC]d(e|f)+") == ("or", ("acd", "bcd"))
 
