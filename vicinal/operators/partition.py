@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .topk import merge_all, to_neighbors, top_k_states
+from .topk import states, to_neighbors
 
 
 @dataclass(frozen=True)
@@ -82,5 +82,5 @@ def merge(results: list[Result]) -> Result:
     for a, b in zip(results, results[1:]):
         if not combinable_same_x(a, b):
             raise ValueError(f"results of the queries {a.x} and {b.x} can't be merged")
-    merged = merge_all([top_k_states(r.neighbors, r.k) for r in results], first.k)
-    return replace(first, neighbors=to_neighbors(merged), y=(first.y[0], last.y[1]))
+    every = reduce(DataFrame.unionByName, [r.neighbors for r in results])
+    return replace(first, neighbors=to_neighbors(states(every, first.k)), y=(first.y[0], last.y[1]))

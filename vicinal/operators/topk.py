@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,19 +18,18 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def top_k_states(pairs: DataFrame, k: int) -> DataFrame:
-    """TOPK_STATE from (qid, cid, dist): the nested form, for merging."""
-    return top_k(pairs, k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("dist", "cid"))).alias("topk"))
+    """TOPK_STATE from any (qid, cid, dist): the nested form, for merging."""
+    return states(top_k(pairs, k), k)
 
 
-def merge_topk(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
-    """States of the same queries over disjoint corpora, merged; a missing or empty state changes nothing."""
-    return merge_all([a, b], k)
+def states(neighbors: DataFrame, k: int) -> DataFrame:
+    """TOPK_STATE from a few rows (qid, cid, dist) a query, such as results over parts of a corpus, by one shuffle."""
+    return neighbors.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "cid"))), 1, k).alias("topk"))
 
 
-def merge_all(states: list[DataFrame], k: int) -> DataFrame:
-    """Any number of states by one shuffle."""
-    every = reduce(DataFrame.unionByName, states)
-    both = every.groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("topk"))).alias("topk"))
+def merge_topk(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """States of the same queries over disjoint corpora, merged; a missing or empty state changes nothing."""
+    both = a.unionByName(b).groupBy("qid").agg(F.array_sort(F.flatten(F.collect_list("topk"))).alias("topk"))
     return both.withColumn("topk", F.slice("topk", 1, k))
 
 
