@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker tokenises at once; bounds its memory for any batch size.
 CHUNK_BYTES = 400_000
@@ -52,6 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def dealt(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """`df` with all rows of a key in one task, sorted by the keys and then by `order`, for Python functions.
+
+    By a hash of the keys: Spark leaves a repartition by the keys themselves out if a join or count below
+    deals rows out by them already, and may then turn that into a broadcast join, which doesn't.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

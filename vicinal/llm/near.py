@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, checkpointed, mix, shingle_hashes, text_chunks
+from .common import Words, bounded_batches, checkpointed, dealt, mix, shingle_hashes, text_chunks
 from .graph import connected_components
 from .simhash import _slabs, fingerprint_of, within
 
@@ -139,8 +139,8 @@ def _pairs(blocks: DataFrame) -> DataFrame:
                 u, v = node[x[i]], node[x[j]]
                 yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    dealt = blocks.select("band", "node", "fp", "size").repartition("band").sortWithinPartitions("band", "fp", "node")
-    return dealt.mapInPandas(run, "u long, v long")
+    rows = blocks.select("band", "node", "fp", "size")
+    return dealt(rows, ["band"], ["fp", "node"]).mapInPandas(run, "u long, v long")
 
 
 def _neighbours(blocks: DataFrame) -> DataFrame:
@@ -171,8 +171,8 @@ def _neighbours(blocks: DataFrame) -> DataFrame:
             last = int(first[-1])
             held = b.iloc[sorted({last, *range(max(last, len(b) - NEIGHBOURS), len(b))})]  # the first of the open block, and the last
 
-    dealt = blocks.select("band", "node", "fp", "size").repartitionByRange("band", "fp", "node").sortWithinPartitions("band", "fp", "node")
-    return dealt.mapInPandas(run, "u long, v long")
+    rows = blocks.select("band", "node", "fp", "size").repartitionByRange("band", "fp", "node").sortWithinPartitions("band", "fp", "node")
+    return rows.mapInPandas(run, "u long, v long")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
@@ -243,7 +243,7 @@ def _members(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(of, "block").withColumn("tile", F.pmod(F.xxhash64("node", "block"), F.col("tiles"))).drop("tiles")
 
 
-def _dealt(members: DataFrame, across: bool) -> DataFrame:
+def _paired(members: DataFrame, across: bool) -> DataFrame:
     """`_members` for each pair of tiles (a, b) of a block to be compared, which are not in one group, with
     side, 1 for those of b: each tile with itself, or with `across` each with each other."""
     tiles = checkpointed(members.groupBy("block", "tile").agg(F.min("label").alias("least"), F.max("label").alias("most")), slim=True)
@@ -256,7 +256,7 @@ def _dealt(members: DataFrame, across: bool) -> DataFrame:
     return first.unionByName(members.join(pairs.withColumn("tile", F.col("b")), ["block", "tile"]).withColumn("side", F.lit(1)))
 
 
-def _linked(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(paired: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between the groups (labels) that similar members of the same pair of tiles are in: of each
     pair of tiles as many as join all groups that its links join."""
 
@@ -294,9 +294,8 @@ def _linked(dealt: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((min(u, v), max(u, v)))
         return out
 
-    held = dealt.select("block", "a", "b", "side", "node", "fp", "size", "label").join(sets.select("node", "s"), "node")
-    held = held.repartition("block", "a", "b").sortWithinPartitions("block", "a", "b", "side", "node")
-    return held.mapInPandas(run, "u long, v long").distinct()
+    held = paired.select("block", "a", "b", "side", "node", "fp", "size", "label").join(sets.select("node", "s"), "node")
+    return dealt(held, ["block", "a", "b"], ["side", "node"]).mapInPandas(run, "u long, v long").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -326,7 +325,7 @@ def _joined(blocks: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         if across:  # only blocks of several tiles have something left to compare
             several = members.groupBy("block").agg(F.min("tile").alias("x"), F.max("tile").alias("y")).where("x <> y").select("block")
             members = members.join(several, "block", "left_semi")
-        links = checkpointed(_linked(_dealt(members, across), sets), slim=True)
+        links = checkpointed(_linked(_paired(members, across), sets), slim=True)
         if not links.isEmpty():
             labels = _merged(labels, links)
     return labels

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, space_words, text_chunks
+from .common import bounded_batches, checkpointed, dealt, space_words, text_chunks
 from .graph import connected_components
 
 RADIUS = 2
@@ -219,8 +219,7 @@ def _compared(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
         if u:
             yield pd.DataFrame({"u": u, "v": v})
 
-    dealt = rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return dealt.mapInPandas(run, "u long, v long")
+    return dealt(rows.select(*keys, "fp"), keys, ["fp"]).mapInPandas(run, "u long, v long")
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, checkpointed, mix, shingle_hashes, text_chunks
+from .common import Words, bounded_batches, checkpointed, dealt, mix, shingle_hashes, text_chunks
 
 LENGTH = 50
 GRAM, WINDOW = 8, 40
@@ -210,8 +210,7 @@ def _marked(suffixes: DataFrame, most_buckets: int) -> DataFrame:
         if held is not None:
             yield from spans(held.reset_index(drop=True))
 
-    dealt = suffixes.repartition("h", "salt").sortWithinPartitions("h", "salt", "rights")
-    return dealt.mapInPandas(run, _MARK)
+    return dealt(suffixes, ["h", "salt"], ["rights"]).mapInPandas(run, _MARK)
 
 
 def _united(packs: DataFrame) -> DataFrame:
@@ -253,9 +252,9 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
     sizes = found.groupBy("h").agg(F.count("*").alias("n"))
     hot = checkpointed(sizes.where(f"n > {RUN}").select("h", F.ceil(F.col("n") / RUN).cast("int").alias("salts")), slim=True)
-    dealt = found.join(hot, "h", "left") if not hot.isEmpty() else found.withColumn("salts", F.lit(1))
-    dealt = dealt.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.col("salts")).cast("int"))
-    marked = checkpointed(_marked(dealt, 1 << 14))
+    runs = found.join(hot, "h", "left") if not hot.isEmpty() else found.withColumn("salts", F.lit(1))
+    runs = runs.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("k1", "pos"), F.col("salts")).cast("int"))
+    marked = checkpointed(_marked(runs, 1 << 14))
     places = marked.where("bucket is null").select("k1", "k2", "first", "after")
     places = places.unionByName(_united(marked.where("bucket is not null")))
     places = places.unionByName(one.where(f"copies > 1 and n_words >= {LENGTH}").select("k1", "k2", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("after")))
