@@ -281,6 +281,38 @@ def test_near_copies_without_an_id(spark):
     assert [r.doc_id for r in near.deduplicate(spark.createDataFrame(rows[:2], schema)).collect()] == [None]
 
 
+@pytest.fixture
+def joins_change(spark):
+    """Sort-merge joins that Spark turns into broadcast joins as it runs, over many partitions."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_blocks_stay_together_after_a_join(spark, joins_change):
+    """Rows of a key are in one task although a join by that key below may no longer deal them out."""
+    one = F.lit(1).cast("long")
+    rows = bounded_batches(spark.range(4000, numPartitions=7)).select((F.col("id") % 500).alias("band"), F.col("id").alias("node"), one.alias("fp"), F.lit(50).alias("size"))
+    none = spark.range(1000, 1003).select(F.col("id").alias("band"))
+    assert near._pairs(rows.join(none, "band", "left_anti")).count() == 500 * 28
+    fps = spark.range(4000, numPartitions=7).select((F.col("id") % 500).alias("k1"), ((F.col("id") % 500) * 1024 + F.shiftright("id", 9)).alias("fp"))
+    few = spark.range(500).select(F.col("id").alias("k1"))
+    links = simhash._compared(fps.join(few, "k1", "left_semi"), ["k1"], 2).collect()
+    want = [(r.fp, o.fp) for _, g in pd.DataFrame(fps.collect(), columns=["k1", "fp"]).groupby("k1") for r in g.itertuples() for o in g.itertuples() if (r.fp ^ o.fp).bit_count() <= 2]
+    nodes = {x for p in want for x in p}
+    assert components(nodes, [tuple(x) for x in links]) == components(nodes, want)
+
+
+def test_near_copies_after_joins_change(spark, joins_change):
+    rows = family(21, 6, 25)
+    kept = near.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))
+    assert sorted(r.doc_id for r in kept.collect()) == least_of_groups(rows)
+
+
 @pytest.mark.parametrize("n", [40, 1001])
 def test_neighbours_in_a_large_block(spark, n):
     """Fingerprints in order differ in few bits, so that each member is in a pair, whatever task it is in."""
