@@ -189,7 +189,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(narrow, pa.list_(pa.int64()))], schema=schema)
 
     nodes = nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "large")
-    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    nodes = _hinted(nodes)
     same = (rows["node"] == F.col("__node")) & rows["doc_id"].eqNullSafe(F.col("__id"))
     found = rows.join(nodes, same).select("node", "large", "text").mapInArrow(run, "node long, s binary, narrow array<long>")
     return found.dropDuplicates(["node"]) if repeated else found
@@ -230,6 +230,11 @@ def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _hinted(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if it has few rows, so that a join with it deals nothing out by a hot key."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _members(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     """Members (block, _SIGN) with label and tile, of the blocks that are in several groups.
 
@@ -239,8 +244,8 @@ def _members(blocks: DataFrame, labels: DataFrame) -> DataFrame:
     now = blocks.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     of = now.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.min("label").alias("least"), F.max("label").alias("most"))
     tiles = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") * 8 / TILE_BYTES))
-    of = of.where("least <> most").select("block", tiles.alias("tiles"))
-    return now.join(of, "block").withColumn("tile", F.pmod(F.xxhash64("node", "block"), F.col("tiles"))).drop("tiles")
+    of = checkpointed(of.where("least <> most").select("block", tiles.alias("tiles")), slim=True)
+    return now.join(_hinted(of), "block").withColumn("tile", F.pmod(F.xxhash64("node", "block"), F.col("tiles"))).drop("tiles")
 
 
 def _paired(members: DataFrame, across: bool) -> DataFrame:
@@ -250,6 +255,7 @@ def _paired(members: DataFrame, across: bool) -> DataFrame:
     a, b = (tiles.select("block", *[F.col(c).alias(f"{c}_{x}") for c in ("tile", "least", "most")]) for x in "ab")
     pairs = a.join(b, "block").where("tile_a < tile_b" if across else "tile_a = tile_b")
     pairs = pairs.where("least(least_a, least_b) <> greatest(most_a, most_b)").select("block", F.col("tile_a").alias("a"), F.col("tile_b").alias("b"))
+    pairs = _hinted(pairs)
     first = members.join(pairs.withColumn("tile", F.col("a")), ["block", "tile"]).withColumn("side", F.lit(0))
     if not across:
         return first
@@ -301,7 +307,7 @@ def _linked(paired: DataFrame, sets: DataFrame) -> DataFrame:
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after the `links` (u, v) between labels; a node without a row is a group of its own."""
     roots = connected_components(links).select("node", F.col("label").alias("root"))
-    roots = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots  # one label may have very many nodes
+    roots = _hinted(roots)  # one label may have very many nodes
     known = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
     fresh = roots.join(labels, "node", "left_anti").select("node", F.col("root").alias("label"))
     return checkpointed(known.unionByName(fresh), slim=True)
@@ -372,8 +378,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     id and text one stays."""
     found = checkpointed(_groups(docs, text, doc_id).where("not kept or n > 1"), slim=True)
     dropped, again = (found.where(w).select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")) for w in ("not kept", "kept"))
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
+    dropped = _hinted(dropped)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     packed = packed.withColumn("node", _node("text"))
     kept = packed.join(dropped, packed["id"].eqNullSafe(F.col("__id")) & (packed["node"] == F.col("__node")), "left_anti")
