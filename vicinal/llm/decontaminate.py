@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, alnum_words, bounded_batches, shingle_hashes, text_chunks
+from .common import Words, alnum_words, bounded_batches, lean, released, shingle_hashes, text_chunks
 
 WORDS = 5
 SHARE = 0.8
@@ -122,7 +122,7 @@ def _searched(docs: DataFrame, held: Broadcast) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_LEAK)
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+    return docs.mapInArrow(lean(run), "doc_id long, item_id long, n_shared long, n_item long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
@@ -162,5 +162,6 @@ def _leaky(held: Broadcast) -> Callable[[str], Column]:
                 found = {d for d, *_ in _contained(sketches, some, hashes)}
                 out += [d in found for d in range(len(some))]
             yield pa.array(out, pa.bool_())
+        released()
 
     return run

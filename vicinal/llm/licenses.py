@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, bounded_batches, text_chunks
+from .common import alnum_words, bounded_batches, lean, text_chunks
 
 # Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -174,7 +174,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> dict[bytes, int
                     total.update(known.intersection(alnum_words(t)))
         yield pa.RecordBatch.from_pydict({"word": [*[w.decode() for w in total], ""], "n": pa.array([*total.values(), rows], pa.int64())})
 
-    counted = bounded_batches(docs).select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = bounded_batches(docs).select(F.col(text).alias("text")).mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {r.word.encode(): r.n for r in counted.collect()}
 
 
@@ -288,4 +288,4 @@ def scan(docs: DataFrame, frequency: dict[bytes, int] | None = None, text: str =
                     rows.append((i, len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | set(shares))), score))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
-    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), SCHEMA)

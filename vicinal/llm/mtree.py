@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, lean
 
 #: Entries of a leaf page and children of an inner node, at most.
 PAGE, FAN = 512, 16
@@ -212,4 +212,4 @@ def _searched(rows: DataFrame, asked: Broadcast, k: int, block: int) -> DataFram
                 own = [np.full(len(b.ids), x, np.int64) for x in (i, (block << 32) + n)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, b.ids, b.scores)], schema=schema)
 
-    return rows.mapInArrow(run, "query_id long, asked long, vec_id long, score long")
+    return rows.mapInArrow(lean(run), "query_id long, asked long, vec_id long, score long")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, checkpointed, dealt, mix, shingle_hashes, text_chunks
+from .common import Words, bounded_batches, checkpointed, dealt, lean, mix, shingle_hashes, text_chunks
 from .graph import connected_components
 from .simhash import _slabs, fingerprint_of, within
 
@@ -98,7 +98,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 keys = np.array([bands(s) for _, s in some], np.int64).reshape(-1, BANDS)
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in some], pa.int64()), pa.array(fps), pa.array([len(s) for _, s in some], pa.int32()), *map(pa.array, keys.T)], schema=schema)
 
-    signed = rows.select("node", "text").mapInArrow(run, f"{_SIGN}, " + ", ".join(f"{b} long" for b in _BANDS))
+    signed = rows.select("node", "text").mapInArrow(lean(run), f"{_SIGN}, " + ", ".join(f"{b} long" for b in _BANDS))
     return signed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "size", *_BANDS)])
 
 
@@ -140,7 +140,7 @@ def _pairs(blocks: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
     rows = blocks.select("band", "node", "fp", "size")
-    return dealt(rows, ["band"], ["fp", "node"]).mapInPandas(run, "u long, v long")
+    return dealt(rows, ["band"], ["fp", "node"]).mapInPandas(lean(run), "u long, v long")
 
 
 def _neighbours(blocks: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _neighbours(blocks: DataFrame) -> DataFrame:
             held = b.iloc[sorted({last, *range(max(last, len(b) - NEIGHBOURS), len(b))})]  # the first of the open block, and the last
 
     rows = blocks.select("band", "node", "fp", "size").repartitionByRange("band", "fp", "node").sortWithinPartitions("band", "fp", "node")
-    return rows.mapInPandas(run, "u long, v long")
+    return rows.mapInPandas(lean(run), "u long, v long")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
@@ -191,7 +191,7 @@ def _sets(rows: DataFrame, nodes: DataFrame, repeated: bool) -> DataFrame:
     nodes = nodes.select(F.col("node").alias("__node"), F.col("doc_id").alias("__id"), "large")
     nodes = _hinted(nodes)
     same = (rows["node"] == F.col("__node")) & rows["doc_id"].eqNullSafe(F.col("__id"))
-    found = rows.join(nodes, same).select("node", "large", "text").mapInArrow(run, "node long, s binary, narrow array<long>")
+    found = rows.join(nodes, same).select("node", "large", "text").mapInArrow(lean(run), "node long, s binary, narrow array<long>")
     return found.dropDuplicates(["node"]) if repeated else found
 
 
@@ -301,7 +301,7 @@ def _linked(paired: DataFrame, sets: DataFrame) -> DataFrame:
         return out
 
     held = paired.select("block", "a", "b", "side", "node", "fp", "size", "label").join(sets.select("node", "s"), "node")
-    return dealt(held, ["block", "a", "b"], ["side", "node"]).mapInPandas(run, "u long, v long").distinct()
+    return dealt(held, ["block", "a", "b"], ["side", "node"]).mapInPandas(lean(run), "u long, v long").distinct()
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:

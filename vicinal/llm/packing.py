@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, text_chunks
+from .common import bounded_batches, checkpointed, lean, text_chunks
 from .tokens import ENCODE, REMEMBER, Encoder, known_kind
 
 SIZE = 2048
@@ -175,7 +175,7 @@ def _pieces(docs: DataFrame, tokenizer: str, text: str, doc_id: str, remember: i
             yield taken()
 
     rows = bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(lean(run), SCHEMA)
 
 
 def pack(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, space_words, text_chunks
+from .common import bounded_batches, released, space_words, text_chunks
 
 #: Labelled rows that the classifier is fitted on, at most; they are chosen by a hash of the id.
 MAX_LABELLED = 5_000
@@ -63,6 +63,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             batch = pa.RecordBatch.from_arrays([column], ["text"])
             rows = np.array([statistics(t) for (texts,) in text_chunks(batch) for t in texts]).reshape(-1, len(STATS))
             yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], STATS)
+        released()
 
     stats = F.arrow_udf(run, ", ".join(f"{s} double" for s in STATS))
     return df.select("row", stats("text").alias("stats")).select("row", "stats.*")

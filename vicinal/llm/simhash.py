@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, dealt, space_words, text_chunks
+from .common import bounded_batches, checkpointed, dealt, lean, space_words, text_chunks
 from .graph import connected_components
 
 RADIUS = 2
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k:
             fps = [fingerprint_of(shingle_xxh64(space_words(t), k)) for _, texts in text_chunks(batch) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def within(fps: np.ndarray, radius: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -219,7 +219,7 @@ def _compared(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
         if u:
             yield pd.DataFrame({"u": u, "v": v})
 
-    return dealt(rows.select(*keys, "fp"), keys, ["fp"]).mapInPandas(run, "u long, v long")
+    return dealt(rows.select(*keys, "fp"), keys, ["fp"]).mapInPandas(lean(run), "u long, v long")
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, checkpointed, dealt, mix, shingle_hashes, text_chunks
+from .common import Words, bounded_batches, checkpointed, dealt, lean, mix, shingle_hashes, text_chunks
 
 LENGTH = 50
 GRAM, WINDOW = 8, 40
@@ -70,7 +70,7 @@ def _prefixes(texts: DataFrame) -> DataFrame:
                 own = pd.DataFrame({"h": shingle_hashes(h, PREFIX)[at].view(np.int64), "k1": np.array(keys, np.int64)[np.searchsorted(ends, at, side="right")]})
                 yield pa.RecordBatch.from_pandas(own.drop_duplicates(), preserve_index=False)
 
-    return texts.select("k1", "text").mapInArrow(run, "h long, k1 long")
+    return texts.select("k1", "text").mapInArrow(lean(run), "h long, k1 long")
 
 
 _SUFFIX = "h long, k1 long, k2 long, pos int, lo int, hi int, lefts binary, rights binary"
@@ -105,7 +105,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                         )
                     ], schema=schema)
 
-    return texts.select("k1", "k2", "hs", "text").mapInArrow(run, _SUFFIX)
+    return texts.select("k1", "k2", "hs", "text").mapInArrow(lean(run), _SUFFIX)
 
 
 def _sums(matrix: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _marked(suffixes: DataFrame, most_buckets: int) -> DataFrame:
         if held is not None:
             yield from spans(held.reset_index(drop=True))
 
-    return dealt(suffixes, ["h", "salt"], ["rights"]).mapInPandas(run, _MARK)
+    return dealt(suffixes, ["h", "salt"], ["rights"]).mapInPandas(lean(run), _MARK)
 
 
 def _united(packs: DataFrame) -> DataFrame:
