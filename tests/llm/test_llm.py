@@ -353,6 +353,19 @@ def test_divided_blocks_of_near_copies(spark, monkeypatch, block, tile):
     assert 2 < len(want) < len(rows) and sorted(r.doc_id for r in kept.collect()) == want
 
 
+def test_members_are_labelled_once(spark, monkeypatch):
+    """Links across tiles are found without another look at the labels of every member of every block."""
+    calls, found, members = [], [], near._members
+    monkeypatch.setattr(near, "PAIRWISE", 4)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "_members", lambda *a: calls.append(1) or members(*a))
+    linked = near._linked
+    monkeypatch.setattr(near, "_linked", lambda *a: found.append(1) or linked(*a))
+    df = spark.createDataFrame(family(3, 2, 80), "doc_id long, text string")
+    assert near.duplicates(df).count() == df.count()
+    assert len(found) == 2 and len(calls) == 1  # two rounds, one look
+
+
 def test_links_of_one_block(spark, monkeypatch):
     """All tiles of one block, whose members share no band otherwise."""
     monkeypatch.setattr(near, "BLOCK", 16)

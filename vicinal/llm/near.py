@@ -304,11 +304,21 @@ def _linked(paired: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt(held, ["block", "a", "b"], ["side", "node"]).mapInPandas(lean(run), "u long, v long").distinct()
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after the `links` (u, v) between labels; a node without a row is a group of its own."""
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of the labels that the `links` (u, v) join: the least label of each component."""
     roots = connected_components(links).select("node", F.col("label").alias("root"))
-    roots = _hinted(roots)  # one label may have very many nodes
-    known = labels.join(roots.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    return _hinted(roots)  # one label may have very many nodes
+
+
+def _relabelled(labelled: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows that have a label, with the label's root."""
+    now = labelled.join(roots.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("root", "label"))
+    return now.select(*labelled.columns)
+
+
+def _merged(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, label) after `_roots`; a node without a row is a group of its own."""
+    known = _relabelled(labels, roots).select("node", "label")
     fresh = roots.join(labels, "node", "left_anti").select("node", F.col("root").alias("label"))
     return checkpointed(known.unionByName(fresh), slim=True)
 
@@ -323,17 +333,23 @@ def _divided(blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _joined(blocks: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """`labels` after all links within the blocks (block, _SIGN): first those within tiles, then across."""
+    """`labels` after all links within the blocks (block, _SIGN): first those within tiles, then across.
+
+    Members are looked up in the labels once, a row for each block that a member is in; later links only
+    change the labels of those that are in several tiles.
+    """
+    members = checkpointed(_members(blocks, labels), slim=True)
     for across in (False, True):
-        members = checkpointed(_members(blocks, labels), slim=True)
-        if members.isEmpty():
-            break
         if across:  # only blocks of several tiles have something left to compare
             several = members.groupBy("block").agg(F.min("tile").alias("x"), F.max("tile").alias("y")).where("x <> y").select("block")
             members = members.join(several, "block", "left_semi")
+            members = checkpointed(members if links.isEmpty() else _relabelled(members, roots), slim=True)
+        if members.isEmpty():
+            break
         links = checkpointed(_linked(_paired(members, across), sets), slim=True)
         if not links.isEmpty():
-            labels = _merged(labels, links)
+            roots = _roots(links)
+            labels = _merged(labels, roots)
     return labels
 
 
