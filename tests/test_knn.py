@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal import Options, knn_join
-from vicinal.operators import matrix, partition, report, topk, verify
+from vicinal.operators import kernels, knn, matrix, partition, report, topk, verify
 from vicinal.schema import POINTS
 from vicinal.sources import points as P
 
@@ -142,8 +142,75 @@ def test_matrix_product(spark):
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-9 for p in want)
 
 
+def test_expanded_distances(spark):
+    """By products of blocks, without norms for each pair."""
+    q, c = points(spark, SPREAD[:7], 20), points(spark, SPREAD)
+    found = matrix.sq_distances(q, c, Options(block_rows=9, part_bytes_limit=500))
+    got = {(r.qid, r.cid): r.dist for r in found.collect()}
+    want = {(20 + i, j): float(((SPREAD[i] - SPREAD[j]) ** 2).sum()) for i in range(7) for j in range(50)}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 and got[p] >= 0 for p in want)
+
+
 def test_vectors_of_several_lengths_raise(spark):
     ragged = spark.createDataFrame([(0, None, [1.0, 2.0]), (1, None, [1.0])], POINTS)
     for strategy in ("gemm", "blocked"):
         with pytest.raises(Exception, match="coordinates"):
             knn_join(ragged.coalesce(1), k=1, strategy=strategy).collect()
+
+
+@pytest.mark.parametrize("strategy", ["gemm", "heap"])
+@pytest.mark.parametrize("more", [{}, {"exclude_self": True}])
+def test_a_corpus_in_parts(spark, strategy, more):
+    """A corpus beyond broadcast_bytes is sent in parts, not refused."""
+    for rows_, k in ((TIED, 7), (SPREAD, 50), (SPREAD, 20)):
+        found = knn_join(points(spark, rows_), k=k, strategy=strategy, options=Options(broadcast_bytes=300, part_bytes_limit=2000), **more)
+        assert rows(found) == brute(rows_, rows_, k, bool(more))
+
+
+def test_many_neighbours_take_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(knn, "MANY", 40)
+    found = knn_join(points(spark, SPREAD), k=40, options=Options(broadcast_bytes=300, block_rows=100))
+    assert "Window" not in found._jdf.queryExecution().toString()
+    assert rows(found) == brute(SPREAD, SPREAD, 40)
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_self_last(spark, strategy):
+    options = Options(broadcast_bytes=300 if strategy == "gemm" else 64_000_000, block_rows=9)
+    for rows_, k in ((TIED, 7), (TIED, 60), (SPREAD, 50)):
+        last = knn_join(points(spark, rows_), k=k, strategy=strategy, self_last=True, options=options)
+        others = brute(rows_, rows_, k, True)
+        assert rows(last.where("dist < 1e300")) == others
+        own = last.where("dist > 1e300").collect()
+        assert {(r.qid, r.cid, r.rank) for r in own} == ({(i, i, k) for i in range(len(rows_))} if k == len(rows_) else set())
+
+
+def test_self_last_makes_no_cross_join_of_points(spark):
+    assert "Join" not in knn_join(points(spark, SPREAD), k=5, self_last=True)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("d, k, self_dist", [(1, 3, None), (2, 5, None), (2, 5, np.inf), (3, 40, None), (2, 5000, np.inf), (2, 4, 1e300)])
+def test_points_of_few_coordinates(d, k, self_dist):
+    """Groups that are too far aren't looked at, and nothing is missed: ties, copies, far queries."""
+    rng = np.random.default_rng(d + k)
+    y = np.concatenate([rng.integers(0, 30, (2500, d)), rng.random((2500, d)) * [1000, 1, 7][:d]]).astype(float)
+    yid = rng.permutation(5000)
+    tree = kernels.Leaves.of(yid, y)
+    looked, dense = [], kernels._dense
+    at = rng.integers(0, 5000, 600)
+    x, xid = np.concatenate([y[at], rng.random((4, d)) * 5000]), np.concatenate([yid[at], np.arange(5000, 5004)])
+    whole = ((x[:, None] - y) ** 2).sum(axis=2)
+    if self_dist is not None:
+        whole[xid[:, None] == yid] = self_dist
+    order = [np.lexsort((yid, v)) for v in whole]
+    want = {i: yid[[c for c in o[:k] if whole[i, c] < np.inf]].tolist() for i, o in enumerate(order)}
+    kernels._dense = lambda *a: looked.append(len(a[1]) * len(a[4])) or dense(*a)
+    try:
+        found = {i: [] for i in range(len(x))}
+        for row, cid, _ in kernels.nearest(xid, x, yid, y, k, self_dist, 100_000, tree):
+            for r, c in zip(row.tolist(), cid.tolist()):
+                found[r].append(c)
+    finally:
+        kernels._dense = dense
+    assert found == want
+    assert k > 1000 or sum(looked) < len(x) * 5000 // 2
