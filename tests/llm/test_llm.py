@@ -725,6 +725,19 @@ def test_pipeline(spark, sf):
     assert {r.doc_id: r.n for r in p.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == sizes
 
 
+def test_stages_give_unused_heap_back(spark, sf):
+    """Executors collect their garbage before each stage, so that its Python workers find room."""
+    import corpus_pipeline as p
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(3)
+    for name, stage in p.STAGES[2:]:
+        before = whole()
+        stage(spark, docs, sf)
+        assert whole() > before, name
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "", "en", "a", 0), (2, None, "en", "a", 0), (3, "8.8.8.8", "en", "a", 7)]])
 def test_pipeline_of_odd_tables(spark, sf, tmp_path, rows):
     import corpus_pipeline as p

@@ -61,6 +61,13 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their garbage and give back what they don't need of their heaps, which
+    otherwise stay as large as an earlier stage made them beside the Python workers of the next one."""
+    n = spark.sparkContext.defaultParallelism  # a task for each core, so that all executors get some
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").collect()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
