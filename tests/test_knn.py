@@ -214,3 +214,42 @@ def test_points_of_few_coordinates(d, k, self_dist):
         kernels._dense = dense
     assert found == want
     assert k > 1000 or sum(looked) < len(x) * 5000 // 2
+
+
+@pytest.mark.parametrize("own", [True, False])
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_proposed_pairs(k, own):
+    """All that may be among the k nearest are proposed, ties included, and few others; copies and odd numbers too."""
+    rng = np.random.default_rng(k)
+    y = np.concatenate([rng.random((2000, 12)), rng.integers(0, 3, (400, 12)), np.tile(rng.random(12), (300, 1)), rng.random((100, 12)) * 1e6])
+    yid = rng.permutation(len(y))
+    at = rng.integers(0, len(y), 700)
+    x, xid = y[at], yid[at]
+    kept_id, kept = kernels.few_copies(yid, y, k + 1)
+    assert len(kept) < len(y) or k >= 300
+    reach, found = np.full(len(x), np.inf), set()
+    for part in range(2):
+        here = kept_id % 2 == part
+        for i, j in kernels.proposed(xid, x, kept_id[here], kept[here], k, own, reach, 3_000_000):
+            found |= set(zip(i.tolist(), kept_id[here][j].tolist()))
+    whole = ((x[:, None] - y) ** 2).sum(axis=2)
+    if not own:
+        whole[xid[:, None] == yid] = np.inf
+    want = {(i, c) for i, v in enumerate(whole) for c in yid[np.lexsort((yid, v))[:k]].tolist()}
+    assert want <= found and len(found) < 6 * len(want) + 400 * len(x) // 10
+    x[0], y[7] = np.nan, np.inf
+    with np.errstate(invalid="ignore"):
+        odd = [(i, j) for i, j in kernels.proposed(xid, x, yid, y, k, own, np.full(len(x), np.inf), 3_000_000)]
+    i, j = map(np.concatenate, zip(*odd))
+    assert (i == 0).sum() == len(y) and (j == 7).sum() == len(x)
+
+
+def test_expressions_join_no_pairs(spark):
+    """knn_expr: distances are computed for proposed pairs, not for all of a cross join, which would be sorted."""
+    rng = np.random.default_rng(4)
+    p = points(spark, np.concatenate([rng.random((1200, 8)), np.tile(rng.random(8), (200, 1))]))
+    found = knn_join(p, k=5, strategy="expr")
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+    assert knn._by_expression(p, [p], 5, "expr", False, False, Options()).count() < 7 * 1400
+    assert rows(found) == rows(knn_join(p, k=5, strategy="gemm"))
