@@ -253,3 +253,13 @@ def test_expressions_join_no_pairs(spark):
     assert "Join" not in plan and "Cartesian" not in plan
     assert knn._by_expression(p, [p], 5, "expr", False, False, Options()).count() < 7 * 1400
     assert rows(found) == rows(knn_join(p, k=5, strategy="gemm"))
+
+
+def test_few_coordinates_by_expressions(spark):
+    """knn_dim_prefix: the first coordinates, without a cross join; rows that agree in them tie."""
+    rng = np.random.default_rng(5)
+    m = np.column_stack([rng.integers(0, 4, (900, 3)), rng.random((900, 6))])
+    found = knn_join(points(spark, m), k=5, strategy="expr", d_limit=3)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Cartesian" not in plan
+    assert rows(found) == brute(m[:, :3], m[:, :3], 5)
