@@ -263,3 +263,14 @@ def test_few_coordinates_by_expressions(spark):
     plan = found._jdf.queryExecution().toString()
     assert "Join" not in plan and "Cartesian" not in plan
     assert rows(found) == brute(m[:, :3], m[:, :3], 5)
+
+
+def test_functions_of_arrays_see_few_pairs(spark):
+    """knn_hof: its interpreted functions run for proposed pairs, not for all."""
+    m = np.random.default_rng(6).random((1500, 8))
+    p = points(spark, m)
+    found = knn_join(p, k=5, strategy="hof")
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Cartesian" not in plan and "zip_with" in plan
+    assert knn._by_expression(p, [p], 5, "hof", False, False, Options()).count() < 6 * 1500
+    assert rows(found) == brute(m, m, 5)
