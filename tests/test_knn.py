@@ -274,3 +274,23 @@ def test_functions_of_arrays_see_few_pairs(spark):
     assert "Join" not in plan and "Cartesian" not in plan and "zip_with" in plan
     assert knn._by_expression(p, [p], 5, "hof", False, False, Options()).count() < 6 * 1500
     assert rows(found) == brute(m, m, 5)
+
+
+@pytest.mark.parametrize("self_dist", [None, np.inf, knn.SELF_LAST])
+def test_many_rows_are_multiplied_in_blocks(self_dist, monkeypatch):
+    """compare_results: a corpus of many rows in blocks with many queries each; ties, copies and rows beyond a block."""
+    rng = np.random.default_rng(7)
+    y = np.concatenate([rng.integers(0, 4, (17000, 7)), np.tile(rng.random(7), (500, 1))]).astype(float)
+    yid = rng.permutation(len(y))
+    at = rng.integers(0, len(y), 150)
+    x, xid, looked, distances = y[at], yid[at], [], kernels._distances
+    monkeypatch.setattr(kernels, "_distances", lambda *a: looked.append((len(a[0]), len(a[2]))) or distances(*a))
+    found = {i: [] for i in range(len(x))}
+    for rows_, cid, _ in kernels.nearest(xid, x, yid, y, 6, self_dist, 64_000_000):
+        for r, c in zip(rows_.tolist(), cid.tolist()):
+            found[r].append(c)
+    whole = ((x[:, None] - y) ** 2).sum(axis=2)
+    if self_dist is not None:
+        whole[xid[:, None] == yid] = self_dist
+    assert found == {i: yid[np.lexsort((yid, v))[:6]].tolist() for i, v in enumerate(whole)}
+    assert max(n for n, _ in looked) > 100 and max(n for _, n in looked) <= 4096
