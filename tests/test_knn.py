@@ -294,3 +294,30 @@ def test_many_rows_are_multiplied_in_blocks(self_dist, monkeypatch):
         whole[xid[:, None] == yid] = self_dist
     assert found == {i: yid[np.lexsort((yid, v))[:6]].tolist() for i, v in enumerate(whole)}
     assert max(n for n, _ in looked) > 100 and max(n for _, n in looked) <= 4096
+
+
+def test_near_copies_by_expressions(spark):
+    """knn_dim_prefix: bounds by products can't hold rows apart that differ by rounding only; their pairs aren't all sent."""
+    rng = np.random.default_rng(7)
+    m = np.column_stack([rng.random((1500, 8)), rng.random((1500, 4))])
+    m[rng.permutation(1500)[:600], :8] = m[0, :8] + rng.normal(size=(600, 8)) * 1e-7
+    p = points(spark, m)
+    cut = knn._limited(p, None, 8)
+    assert knn._by_expression(cut, [cut], 5, "expr", False, False, Options()).count() < 7 * 1500
+    assert rows(knn_join(p, k=5, strategy="expr", d_limit=8)) == rows(knn_join(p, k=5, strategy="gemm", d_limit=8))
+
+
+def test_many_near_copies_are_looked_at_in_turns(monkeypatch):
+    """knn_dim_prefix: pairs that products leave are looked at before they become many, and none is lost by it."""
+    rng = np.random.default_rng(8)
+    x = rng.random(8) + rng.normal(size=(5000, 8)) * 1e-7
+    seen, real = [], kernels._nearer
+    monkeypatch.setattr(kernels, "_PAIRS", 100_000)
+    monkeypatch.setattr(kernels, "_nearer", lambda *a: (seen.append(len(a[-1])), real(*a))[1])
+    ids = np.arange(5000)
+    (i, j), = kernels.proposed(ids[:200], x[:200], ids, x, 5, False, np.full(200, np.inf), 64_000_000)
+    assert max(seen) < 100_000 + 200 * kernels._BLOCK_ROWS and len(i) < 7 * 200
+    found = set(zip(i.tolist(), j.tolist()))
+    whole = ((x[:200, None] - x) ** 2).sum(axis=2)
+    whole[ids[:200], ids[:200]] = np.inf
+    assert {(a, c) for a, v in enumerate(whole) for c in np.lexsort((ids, v))[:5].tolist()} <= found
