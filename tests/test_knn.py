@@ -321,3 +321,35 @@ def test_many_near_copies_are_looked_at_in_turns(monkeypatch):
     whole = ((x[:200, None] - x) ** 2).sum(axis=2)
     whole[ids[:200], ids[:200]] = np.inf
     assert {(a, c) for a, v in enumerate(whole) for c in np.lexsort((ids, v))[:5].tolist()} <= found
+
+
+@pytest.mark.parametrize("exclude, last", [(False, False), (True, False), (False, True)])
+def test_odd_numbers_by_functions_of_arrays(spark, exclude, last):
+    """knn_hof: rows with NaN or infinite values aren't paired with all others; NaN ranks last, as in SQL."""
+    rng = np.random.default_rng(9)
+    m = rng.random((900, 4))
+    m[100:160, 1] = np.nan
+    m[200:260, 2] = np.inf
+    m[260:300, 2] = -np.inf
+    m[300:310] = [0, np.nan, np.inf, 1]
+    p = points(spark, m)
+    assert knn._by_expression(p, [p], 5, "hof", exclude, last, Options()).count() < 8 * 900
+    with np.errstate(invalid="ignore"):
+        whole = ((m[:, None] - m) ** 2).sum(axis=2)
+    if last:
+        np.fill_diagonal(whole, knn.SELF_LAST)
+    ids = np.arange(900)
+    for parts in (Options(), Options(broadcast_bytes=20_000)):
+        found = {(r.qid, r.rank, r.cid) for r in knn_join(p, k=5, strategy="hof", exclude_self=exclude, self_last=last, options=parts).collect()}
+        assert found == {(q, r + 1, c) for q, v in enumerate(whole) for r, c in enumerate([c for c in np.lexsort((ids, v)).tolist() if not (exclude and c == q)][:5])}
+
+
+def test_few_numbers_among_odd_ones(spark):
+    """knn_hof: with fewer than k finite distances the least ids follow, infinite distances before NaN."""
+    m = np.full((60, 2), np.nan)
+    m[[5, 50]] = [[1, 2], [3, 4]]
+    m[[7, 40], 0], m[[7, 40], 1] = np.inf, 0
+    found = {(r.qid, r.rank, r.cid) for r in knn_join(points(spark, m), k=6, strategy="hof").collect()}
+    assert {(5, r + 1, c) for r, c in enumerate([5, 50, 7, 40, 0, 1])} <= found
+    assert {(7, r + 1, c) for r, c in enumerate([5, 50, 0, 1, 2, 3])} <= found
+    assert {(0, r + 1, c) for r, c in enumerate(range(6))} <= found and len(found) == 360
